@@ -50,15 +50,15 @@ def in_order(df: DataFrame, by: list[str], name: str, add: dict[str, Column] | N
     add = add or {}
     d = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
     for k, x in add.items():
-        d = d.withColumn(f"__{k}", x)
+        d = d.withColumn(f"__a_{k}", x)
     d = stored(d, name).withColumns({"__part": F.shiftright("__at", 33), "__i": F.col("__at").bitwiseAND((1 << 33) - 1)})
-    parts = d.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), *(F.sum(f"__{k}").alias(f"__s_{k}") for k in add))
+    parts = d.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), *(F.sum(f"__a_{k}").alias(f"__s_{k}") for k in add))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     offsets = parts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), *(F.coalesce(F.sum(f"__s_{k}").over(before), F.lit(0)).alias(f"__b_{k}") for k in add))
     out = d.join(F.broadcast(offsets), "__part").withColumn("rank", F.col("__before") + F.col("__i"))
     if add:
         within = Window.partitionBy("__part").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
-        out = out.withColumns({k: F.col(f"__b_{k}") + F.coalesce(F.sum(f"__{k}").over(within), F.lit(0)) for k in add})
+        out = out.withColumns({k: F.col(f"__b_{k}") + F.coalesce(F.sum(f"__a_{k}").over(within), F.lit(0)) for k in add})
     return out.select(*df.columns, "rank", *add)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import near_dedup, quality
+from stratalens.llm import mixing, near_dedup, quality
 from stratalens.llm.common import table
 
 
@@ -14,20 +14,32 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.interleaved(table(spark, sf_dir, "documents"))
+
+
 def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_order(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op5_sharding": op5_sharding,
     "op6_importance_resampling": op6_importance_resampling,
+    "op9_source_mixing": op9_source_mixing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.QUALITY_SQL,
+    "op5_sharding": mixing.INTERLEAVED_SQL,
+    "op9_source_mixing": mixing.SCHEDULE_SQL,
     "op6_importance_resampling": quality.IMPORTANCE_SQL,
 }
