@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding (operator 3).
 
-Spark's higher-order functions fold the ranked merges over a word's array of byte pieces: each step looks up the rank of every two neighbours joined and merges the leftmost pair of least rank. The ranks are a literal: an array of small maps, by checksum, so that a look-up doesn't search 50,000 keys. Distinct words are counted over the whole table; the fold runs once for each word that occurs often, and the frequent words' ids become a second literal, of at most FREQUENT entries whatever the size of the table. Words that it lacks are folded where they occur, so no exchange ever holds the texts. Decoding looks up the ids' binary pieces and concatenates them.
+Spark's higher-order functions fold the ranked merges over a word's bytes: each step looks up the rank of every two neighbouring pieces joined and merges the leftmost pair of least rank. The ranks are a literal: an array of small maps, by hash, so that a look-up doesn't search all keys. Words are counted over the whole table; the fold runs once for each distinct word that occurs often, and the frequent words' ids become a second literal, of at most FREQUENT entries whatever the size of the table. Words that it lacks are folded where they occur, so no exchange ever holds the texts. Decoding looks up the ids' binary pieces and concatenates them.
 
 A vocabulary is a file of base64 pieces and ranks, the path a parameter; it isn't copied into the repository. A merge of long runs takes time with the square of their length, so documents with a run of more than LONG characters that are all spaces or all not spaces are encoded by encode_whole instead, a heap of pairs in Python, with equal results.
 
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,12 +20,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 
-from stratalens.llm import common
+from stratalens.llm import common, textcols
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-FREQUENT, LONG = 1 << 17, 64
+FREQUENT, LONG = 1 << 18, 64
 _WHITE = r"\u0009-\u000d \u0085   -     　"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
+#: Letters first, as most words are letters: no other branch can begin where they match.
+PATTERN = rf" ?\p{{L}}++| ?\p{{N}}++|'(?:[stmd]|re|ve|ll)| ?[^{_WHITE}\p{{L}}\p{{N}}]++|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
+#: 0 white, 1 letters (and all bytes of characters beyond ASCII), 2 digits, 3 other signs.
+_KIND = np.array([0 if i <= 32 else 1 if i > 127 or chr(i).isalpha() else 2 if chr(i).isdigit() else 3 for i in range(256)], np.int8)
 _words = regex.compile(PATTERN)
 
 
@@ -43,14 +45,19 @@ def array_literal(spark: SparkSession, values: pa.Array) -> Column:
     return ClassicColumn(jvm.classic.ExpressionUtils.column(jvm.catalyst.expressions.Literal(value, df._jdf.schema().apply(0).dataType())))
 
 
-def map_literal(spark: SparkSession, keys: list[bytes], values: pa.Array) -> Callable[[Column], Column]:
-    """A function from a binary column to its value, or null: maps of about one key each, by the key's checksum."""
+def map_literal(spark: SparkSession, keys: pa.Array, values: pa.Array) -> Callable[[Column], Column]:
+    """A function from a column of the keys' type, text or binary, to its value, or null: maps of about one key each, by the key's hash."""
     n = 1 << max(4, len(keys).bit_length())
-    at = np.array([zlib.crc32(k) % n for k in keys], np.int64)
+    at = spark.createDataFrame(pa.table({"k": keys})).select(F.pmod(F.hash("k"), F.lit(n)).alias("at")).toArrow().column(0).to_numpy() if len(keys) else np.empty(0, np.int64)
     order = np.argsort(at, kind="stable")
     bounds = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n))]).astype(np.int32)
-    maps = array_literal(spark, pa.MapArray.from_arrays(pa.array(bounds), pa.array([keys[i] for i in order], pa.binary()), values.take(pa.array(order))))
-    return lambda k: F.try_element_at(F.get(maps, (F.crc32(k) % F.lit(n)).cast("int")), k)
+    maps = array_literal(spark, pa.MapArray.from_arrays(pa.array(bounds), keys.take(pa.array(order)), values.take(pa.array(order))))
+    return lambda k: F.try_element_at(F.get(maps, F.pmod(F.hash(k), F.lit(n))), k)
+
+
+def char(rank: int) -> str:
+    """The character that stands for a piece; none is a surrogate."""
+    return chr(rank + 0x100 if rank < 0xD700 else rank + 0x900)
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -58,22 +65,28 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def folded(word: Column, rank: Callable[[Column], Column]) -> Column:
-    """The ids of a binary column's pieces after all merges."""
+def folder(spark: SparkSession, ranks: dict[bytes, int]) -> Callable[[Column], Column]:
+    """A function from a binary column to the ids of its pieces after all merges.
 
-    def step(pieces: Column, _: Column) -> Column:
-        ranks = F.transform(F.sequence(F.lit(0), F.size(pieces) - 2), lambda i: rank(F.concat(F.get(pieces, i), F.get(pieces, i + 1))))
+    The fold's state is the array of pieces, a character for each, so that a string holds it; a step looks up the rank of every two neighbours joined, in a literal map of all pairs of pieces that the vocabulary joins, and puts the leftmost pair of least rank together.
+    """
+    pairs = [(char(ranks[w[:k]]) + char(ranks[w[k:]]), r) for w, r in ranks.items() for k in range(1, len(w)) if w[:k] in ranks and w[k:] in ranks]
+    rank = map_literal(spark, pa.array([k for k, _ in pairs], pa.string()), pa.array([r for _, r in pairs], pa.int32()))
+    chars = array_literal(spark, pa.array([char(i) for i in range(max(ranks.values()) + 1)], pa.string()))
+    single = [i for i in range(256) if bytes([i]) in ranks]
 
-        def merge(r: Column) -> Column:
-            i = F.array_position(r, F.array_min(r)).cast("int")
-            return let(i, lambda i: F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(F.concat(F.get(pieces, i - 1), F.get(pieces, i))), F.slice(pieces, i + 2, F.size(pieces))))
+    def fold(word: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            ranks = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - 1)), lambda i: rank(F.substring(s, i, F.lit(2))))
+            joined = lambda r, m: let(F.array_position(r, m).cast("int"), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.get(chars, m), F.substring(s, i + 2, F.length(s))))
+            return let(ranks, lambda r: let(F.array_min(r), lambda m: F.when(m.isNull(), s).otherwise(joined(r, m))))
 
-        return let(ranks, lambda r: F.when(F.array_min(r).isNull(), pieces).otherwise(merge(r)))
+        start = F.translate(F.decode(word, "ISO-8859-1"), "".join(map(chr, single)), "".join(char(ranks[bytes([i])]) for i in single))
+        done = F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, step)
+        point = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.ascii(F.substring(s, i, F.lit(1))))
+        return F.transform(let(done, point), lambda p: F.when(p < 0xD800, p - 0x100).otherwise(p - 0x900))
 
-    n = F.octet_length(word)
-    pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-    done = F.aggregate(F.sequence(F.lit(2), n), pieces, step)
-    return F.coalesce(F.when(rank(word).isNotNull(), F.array(rank(word))), F.transform(done, rank))
+    return fold
 
 
 def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -112,9 +125,35 @@ def encode_whole(text: str, ranks: dict[bytes, int]) -> list[int]:
     return [x for w in _words.findall(text) for x in encode_word(w.encode(), ranks)]
 
 
-def frequent_words(words: DataFrame, limit: int = FREQUENT) -> DataFrame:
-    """(word) of the words that occur at least c times, c being the least count, 2 at least, that at most limit words reach; words: one row for each occurrence."""
-    counts = common.stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "words")
+def near_words(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of letters, digits or other signs, with the space before them: by bytes, so nearly the pattern's words. It only proposes entries for the literal of frequent words."""
+    kind = _KIND[buf]
+    new = np.ones(len(buf), bool)
+    new[1:] = kind[1:] != kind[:-1]
+    new[bounds[:-1][bounds[:-1] < len(buf)]] = True
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(buf))
+    solid = kind[starts] > 0
+    starts, ends = starts[solid], ends[solid]
+    space = (starts > 0) & (buf[starts - 1] == 32) & ~np.isin(starts, bounds)
+    return starts - space, ends
+
+
+def frequent_words(docs: DataFrame, limit: int = FREQUENT) -> DataFrame:
+    """(word: binary) of the words that occur at least c times, c being the least count, 2 at least, that at most limit words reach."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, buf, bounds in textcols.chunks(b.column(0), 8 * textcols.CHUNK):
+                starts, ends = near_words(buf, bounds)
+                short = ends - starts <= 4 * LONG
+                starts, ends = starts[short], ends[short]
+                _, at, n = np.unique(textcols.span_hash(buf, starts, ends), return_index=True, return_counts=True)
+                raw = buf.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([raw[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary()), pa.array(n)], ["word", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = common.stored(counts, "words")
     steps = sorted(counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True)  # a row for each count, 65,536 at most
     least, total = None, 0
     for n, k in steps:
@@ -129,17 +168,21 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, frequent: int = FREQUE
     """(doc_id, text, tokens): all documents with the ids of their whole texts."""
     spark = docs.sparkSession
     ranks = read_ranks(vocabulary)
-    rank = map_literal(spark, list(ranks), pa.array(list(ranks.values()), pa.int32()))
+    folded = folder(spark, ranks)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     is_long = F.coalesce(F.col("text").rlike(rf"[^{_WHITE}]{{{long + 1}}}|[{_WHITE}]{{{long + 1}}}"), F.lit(False))
     split = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
     usual = d.where(~is_long)
-    often = frequent_words(usual.select(F.explode(split).alias("word")), frequent).select(F.col("word").cast("binary").alias("word"))
-    known = often.select("word", folded(F.col("word"), rank).alias("ids")).toArrow().combine_chunks()
-    keys = known.column("word").to_pylist()
-    ids = known.column("ids").combine_chunks() if len(keys) else pa.array([], pa.list_(pa.int32()))
-    look_up = map_literal(spark, keys, ids)
-    in_jvm = usual.select("doc_id", "text", F.flatten(F.transform(split, lambda w: let(w.cast("binary"), lambda b: F.coalesce(look_up(b), folded(b, rank))))).alias("tokens"))
+    often = frequent_words(usual, frequent).select(F.col("word").cast("string").alias("key"), folded(F.col("word")).alias("ids")).toArrow()
+    known = dict(zip(often.column(0).to_pylist(), often.column(1).to_pylist(), strict=True))
+    for piece, i in ranks.items():  # a word that is a piece is that piece
+        try:
+            known[piece.decode()] = [i]
+        except UnicodeDecodeError:
+            pass
+    look_up = map_literal(spark, pa.array(list(known), pa.string()), pa.array(list(known.values()), pa.list_(pa.int32())))
+    del known, often
+    in_jvm = usual.select("doc_id", "text", F.flatten(F.transform(split, lambda w: F.coalesce(look_up(w), folded(w.cast("binary"))))).alias("tokens"))
     shared = spark.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,14 +194,13 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, frequent: int = FREQUE
 
 
 def decoded(spark: SparkSession, tokens: Column, vocabulary: str = VOCABULARY) -> Column:
-    """The text of the ids: their binary pieces, concatenated; an unknown id makes it null."""
+    """The text of the ids: their binary pieces, concatenated; an unknown id becomes U+FFFD."""
     ranks = read_ranks(vocabulary)
     pieces: list[bytes | None] = [None] * (max(ranks.values()) + 1)
     for piece, i in ranks.items():
         pieces[i] = piece
-    table = array_literal(spark, pa.array(pieces, pa.binary()))
-    parts = F.transform(tokens, lambda t: F.get(table, t).cast("string"))
-    return F.when(~F.exists(parts, lambda p: p.isNull()), F.array_join(parts, ""))
+    table = array_literal(spark, pa.array(pieces, pa.binary()).view(pa.string()))  # bytes, mostly no whole characters: nothing checks or changes them
+    return F.array_join(F.transform(tokens, lambda t: F.get(table, t)), "", "\ufffd")
 
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -153,6 +153,7 @@ def importance(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: i
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, log_weight double")
     d = d.withColumn("sample_key", F.round(F.col("log_weight") - F.log(-F.log(uniform(F.col("doc_id"), seed))), 6))
+    d = common.stored(d, "weights")  # else the exchange by ranges would score all texts twice, once for its sample
     d = common.in_order(d.withColumn("last_first", -F.col("sample_key")), ["last_first", "doc_id"], "keys")
     k = F.ceil(F.lit(share) * d.count())
     return d.select("doc_id", "log_weight", "sample_key", (F.col("rank") < k).alias("selected"))

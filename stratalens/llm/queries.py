@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import mixing, near_dedup, quality
+from stratalens.llm import bpe, mixing, near_dedup, quality
 from stratalens.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.interleaved(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_byte_bpe": op3_byte_bpe,
     "op5_sharding": op5_sharding,
     "op6_importance_resampling": op6_importance_resampling,
     "op9_source_mixing": op9_source_mixing,
