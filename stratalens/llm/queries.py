@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import bpe, mixing, near_dedup, quality
+from stratalens.llm import bpe, language, mixing, near_dedup, quality
 from stratalens.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"))
 
 
+def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.spans(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.interleaved(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_language_spans": op4_language_spans,
     "op5_sharding": op5_sharding,
     "op6_importance_resampling": op6_importance_resampling,
     "op9_source_mixing": op9_source_mixing,
