@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import bpe, language, mixing, near_dedup, quality
+from stratalens.llm import bpe, language, mixing, near_dedup, quality, suffix
 from stratalens.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_order(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_spans": op4_language_spans,
     "op5_sharding": op5_sharding,
     "op6_importance_resampling": op6_importance_resampling,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
