@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import bpe, language, mixing, near_dedup, quality, suffix
+from stratalens.llm import bpe, language, mixing, near_dedup, pii, quality, suffix
 from stratalens.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_order(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_importance_resampling": op6_importance_resampling,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_pii_spans": op8_pii_spans,
     "op9_source_mixing": op9_source_mixing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
