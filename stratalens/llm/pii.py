@@ -26,8 +26,9 @@ PROPOSE = re.compile(
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<secret>(?<![\w-])(?:(?=[\w-]*\d)(?=[\w-]*[A-Za-z])[A-Za-z0-9_-]{20,}|AKIA[A-Z0-9]{12,})(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w))"
-    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,5}){1,4}(?![\w.]*\d))"
+    r"|(?P<card>(?<![\w.])(?!00(?:[ -]?\d){11,13}(?![ -]?\d|\w))\d(?:[ -]?\d){12,18}(?!\w))"
+    r"|(?P<phone>(?<![\w.])(?:(?=[+(]{0,2}(?:%s{0,3}\d){7})(?:\+ ?)?(?:\(\+?\d{1,5}\)|\d)(?:%s{0,2}(?:\(\d{1,5}\)|\d)){2,14}(?!\w|\.\d)" % (r"[ ./()+\u00a0\u202f\u2011\u2013-]", r"[ ./\u00a0\u202f\u2011\u2013-]") +
+    r"|(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,5}){1,4}(?![\w.]*\d)))"
 )
 #: Gazetteers.
 _TLD = {"com", "org", "net", "edu", "gov", "info", "io", "co", "uk", "de", "fr", "es", "it", "eu", "us", "ca", "biz", "me", "app", "dev"}
@@ -38,6 +39,9 @@ _PAY = re.compile(r"(?i)(?:card|visa|master|amex|credit|debit|payment|iban|accou
 _MAIL = re.compile(r"(?i)(?:mail|contact|write|from|to|cc)\W{0,4}$")
 _HOST = re.compile(r"(?i)(?:ip|host|server|address|addr|from|login|client)\W{0,4}$")
 _NUMBERING = re.compile(r"(?i)(?:version|ver|v|section|chapter|release|page|fig|figure|isbn|id|no|nr|hash|checksum|sha\d*|md5|commit|uuid)\W{0,3}$")
+#: Phone numbers as written in America, and in pairs; any with the country's code.
+_GROUPS = re.compile(r"(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4}|(?:(?:\+|00)\d{2}(?: ?\(0\))?[ .-]?\d|0\d)(?:[ .-]\d\d){4}")
+_ABROAD = re.compile(r"\(?(?:\+|00) ?[1-9]\d{0,2}\)?(?:\W{0,2}\d){6,14}|\(?(?:\+|00) ?[1-9]\d{0,2}\)?(?:[^\w(]{0,2}\(\d{1,5}\))(?:\W{0,2}\d){5,13}")
 LABELERS = ["syntax", "check", "gazetteer", "context", "against"]
 
 
@@ -67,9 +71,13 @@ def votes(kind: str, span: str, before: str, after: str) -> list[int]:
         syntax = 1 if re.fullmatch(r"[A-Za-z0-9][\w.+-]*", user) and re.fullmatch(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", host) else -1
         return [syntax, 1 if "." in host and ".." not in span else -1, 1 if host.rpartition(".")[2].lower() in _TLD else 0, 1 if _MAIL.search(before) else 0, against]
     if kind == "phone":
-        syntax = 1 if 9 <= len(digits) <= 15 and span[0] in "+(" else -1 if len(digits) < 7 else 0
-        grouped = 1 if re.fullmatch(r"(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4}", span) else -1
-        return [syntax, grouped, 1 if re.match(r"\+(?:1|3\d|4\d|5\d|6\d|7|8\d|9\d)\b", span) else 0, 1 if _CALL.search(before) else 0, against or (-1 if re.match(r"(?:19|20)\d\d\b", span) else 0)]
+        abroad = span[0] == "+" or span[:2] in ("00", "(+")
+        syntax = -1 if not 7 <= len(digits) <= 15 else 1 if len(digits) >= 9 and (abroad or span[0] == "(" or (span[0] == "0" and len(digits) <= 12)) else 0
+        if _GROUPS.fullmatch(span) or (abroad and _ABROAD.fullmatch(span)):
+            grouped = 1
+        else:
+            grouped = 0 if span.isdigit() and syntax >= 0 else -1
+        return [syntax, grouped, 1 if re.match(r"\(?(?:\+|00) ?(?:1|7|[2-689]\d)", span) else 0, 1 if _CALL.search(before) else 0, against or (-1 if re.match(r"(?:19|20)\d\d\b", span) else 0)]
     if kind == "card":
         return [1 if 13 <= len(digits) <= 19 else -1, 1 if luhn(digits) else -1, 1 if re.match(r"4|5[1-5]|2[2-7]|3[47]|6(?:011|5)", digits) else -1, 1 if _PAY.search(before) else 0, against]
     if kind == "ip":

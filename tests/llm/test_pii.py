@@ -1,0 +1,24 @@
+import pytest
+
+from stratalens.llm import pii
+
+
+def proposed(text, kind):
+    return [text[a:b] for k, a, b, _, _ in pii.proposals(text) if k == kind]
+
+
+PHONES = ["+15551234567", "5551234567", "+33 6 12 34 56 78", "06.12.34.56.78", "+49 30 1234567", "+49 151 12345678", "0049 151 12345678", "+49 (0) 30 1234567", "(030) 123-4567", "030/1234567", "+1 (555) 123-4567"]
+
+
+@pytest.mark.parametrize("number", PHONES)
+def test_phone_numbers_are_proposed_whole(number):
+    assert proposed(f"call {number}, or {number}", "phone") == [number] * 2
+
+
+def test_phone_numbers_abroad_are_private(spark):
+    numbers = [p for p in PHONES if p[0] == "+"]
+    rows = [(i, f"please call {numbers[i % len(numbers)]} today") for i in range(60)] + [(100 + i, f"in 20{i % 90 + 10}-01-1{i % 9} it took 12 34 and 0.{i}12345678 or 1.234.{i % 9}67 of id 8234567{i:02}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in pii.masked(docs).collect()}
+    assert all(masked[i] == "please call <PHONE> today" for i in range(60))
+    assert all("<" not in masked[100 + i] for i in range(200))
