@@ -7,6 +7,7 @@ Defined cases: a null or empty text has no span; repeated rows have equal spans;
 
 from __future__ import annotations
 
+import ipaddress
 import json
 import re
 from collections.abc import Iterator
@@ -21,10 +22,12 @@ from stratalens.llm import common
 CHECK_DIGITS = {"card", "iban"}
 KINDS = ["email", "phone", "card", "ip", "secret", "ssn", "iban"]
 PROPOSE = re.compile(
+    r"(?P<pem>-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9+/=\s]*[A-Za-z0-9+/=])?)"
+    r"|(?P<keyed>(?i:passw(?:or)?d|passphrase|pwd|token|secret|api[_ -]?key|access[_ -]?key|auth(?:orization)?|credentials?|private[_ -]?key|bearer)(?i:[_ -]?(?:id|key|token))?[\"'`]?\s{0,3}(?::=|=>|[=:]|(?<=[Bb]earer)(?=\s))\s{0,3}(?i:(?:bearer|basic)\s+)?(?:\"(?P<double>[^\"\n]+)\"|'(?P<single>[^'\n]+)'|`(?P<back>[^`\n]+)`|(?P<bare>[^\s\"'`]+)))|"
     r"(?P<email>[\w.+-]{1,64}@[\w-]+(?:\.[\w-]+)*)"
-    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.]*\d))"
+    r"|(?P<ip>(?<![\w:.])(?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{1,4}:){6,7}[0-9A-Fa-f])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]{0,4})(?![\w:])|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.]*\d))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<secret>(?<![\w-])(?:(?=[\w-]*\d)(?=[\w-]*[A-Za-z])[A-Za-z0-9_-]{20,}|AKIA[A-Z0-9]{12,})(?![\w-]))"
+    r"|(?P<secret>(?<![\w-])(?:(?=[\w-]*\d)(?=[\w-]*[A-Za-z])[A-Za-z0-9_-]{20,}|AKIA[A-Z0-9]{12,})(?![\w-])|(?<![\w+/=-])(?=[\w+/-]*[+/])(?=[\w+/-]*\d)(?=[\w+/-]*[a-z])(?=[\w+/-]*[A-Z])[A-Za-z0-9_+/-]{20,}={0,2}(?![\w+/=-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.])(?!00(?:[ -]?\d){11,13}(?![ -]?\d|\w))\d(?:[ -]?\d){12,18}(?!\w))"
     r"|(?P<phone>(?<![\w.])(?:(?=[+(]{0,2}(?:%s{0,3}\d){7})(?:\+ ?)?(?:\(\+?\d{1,5}\)|\d)(?:%s{0,2}(?:\(\d{1,5}\)|\d)){2,14}(?!\w|\.\d)" % (r"[ ./()+\u00a0\u202f\u2011\u2013-]", r"[ ./\u00a0\u202f\u2011\u2013-]") +
@@ -32,8 +35,10 @@ PROPOSE = re.compile(
 )
 #: Gazetteers.
 _TLD = {"com", "org", "net", "edu", "gov", "info", "io", "co", "uk", "de", "fr", "es", "it", "eu", "us", "ca", "biz", "me", "app", "dev"}
-_KEYWORD = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|access[_ -]?key|auth|credential|private[_ -]?key|bearer)\W{0,6}$")
-_ASSIGN = re.compile(r"[=:]\s*[\"'`]?$")
+_KEYWORD = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_ -]?key|access[_ -]?key|auth(?:orization)?|credentials?|private[_ -]?key|bearer)\W{0,6}$")
+_ASSIGN = re.compile(r"(?i)(?:[=:]>?\s*(?:(?:bearer|basic)\s+)?|bearer\s+)[\"'`]?$")
+#: Too short for the entropy to tell, but of letters and of other signs.
+_MIXED = re.compile(r"(?=.*[A-Za-z])(?=.*[^A-Za-z\s'.,-]).{6,19}")
 _CALL = re.compile(r"(?i)(?:tel|phone|call|mobile|cell|fax|contact|dial|whats ?app)\W{0,4}(?:\w+\W+)?$")
 _PAY = re.compile(r"(?i)(?:card|visa|master|amex|credit|debit|payment|iban|account|konto|cuenta|compte)\W{0,4}(?:\w+\W+)?$")
 _MAIL = re.compile(r"(?i)(?:mail|contact|write|from|to|cc)\W{0,4}$")
@@ -80,12 +85,22 @@ def votes(kind: str, span: str, before: str, after: str) -> list[int]:
         return [syntax, grouped, 1 if re.match(r"\(?(?:\+|00) ?(?:1|7|[2-689]\d)", span) else 0, 1 if _CALL.search(before) else 0, against or (-1 if re.match(r"(?:19|20)\d\d\b", span) else 0)]
     if kind == "card":
         return [1 if 13 <= len(digits) <= 19 else -1, 1 if luhn(digits) else -1, 1 if re.match(r"4|5[1-5]|2[2-7]|3[47]|6(?:011|5)", digits) else -1, 1 if _PAY.search(before) else 0, against]
+    if kind == "ip" and ":" in span:
+        try:
+            ip = ipaddress.IPv6Address(span)
+        except ValueError:
+            return [-1, -1, -1, 1 if _HOST.search(before) else 0, against]
+        return [1, 1, 1 if ip.is_global else -1, 1 if _HOST.search(before) else 0, against]
     if kind == "ip":
         parts = [int(x) for x in span.split(".")]
         return [1 if max(parts) < 256 else -1, -1 if any(len(x) > 1 and x[0] == "0" for x in span.split(".")) else 1, -1 if parts[0] in (0, 127, 255) or parts[:2] == [192, 168] or parts[0] == 10 else 1 if parts[0] < 224 else -1, 1 if _HOST.search(before) else 0, against]
     if kind == "secret":
+        if span.startswith("-----BEGIN "):
+            return [1, 1, 1, 1, 0]
+        if re.fullmatch(r"[^\W\d_]?[^\W\dA-Z_]{0,18}", span):  # a word of prose, as after "the secret:"
+            against = -1
         hexed = bool(re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", span))
-        return [1 if hexed or re.match(r"(?:AKIA|ghp_|gho_|sk-|sk_|xox[bap]-|AIza|eyJ)", span) else 0, 1 if entropy(span) >= 3.2 else -1, 1 if _KEYWORD.search(before) or _KEYWORD.search(_ASSIGN.sub("", before)) else 0, 1 if _ASSIGN.search(before) else -1 if not before[-1:].isspace() and before else 0, against]
+        return [1 if hexed or re.match(r"(?:AKIA|ghp_|gho_|sk-|sk_|xox[bap]-|AIza|eyJ)", span) else 0, 1 if entropy(span) >= 3.2 or _MIXED.fullmatch(span) else -1, 1 if _KEYWORD.search(before) or _KEYWORD.search(_ASSIGN.sub("", before)) else 0, 1 if _ASSIGN.search(before) else -1 if not before[-1:].isspace() and before else 0, against]
     if kind == "ssn":
         a, b, c = span.split("-")
         return [1, -1 if a in ("000", "666") or a[0] == "9" or b == "00" or c == "0000" else 1, 0, 1 if re.search(r"(?i)(?:ssn|social|security)\W*(?:\w+\W+)?$", before) else 0, against]
@@ -103,14 +118,24 @@ def features(kind: str, span: str, before: str, after: str) -> list[int]:
 
 def proposals(text: str) -> Iterator[tuple[str, int, int, str, str]]:
     for m in PROPOSE.finditer(text):
-        a, b = m.span()
-        while b > a and text[b - 1] in ".-":
+        kind, (a, b) = m.lastgroup, m.span()
+        if kind == "keyed":
+            quoted = next(g for g in ("double", "single", "back", "bare") if m[g] is not None)
+            a, b = m.span(quoted)
+            if quoted == "bare":
+                while b > a and text[b - 1] in ".,;:!?)]}>":
+                    b -= 1
+            if b == a:
+                continue
+            yield "secret", a, b, text[max(0, a - 24) : a], text[b : b + 2]
+            continue
+        while kind != "pem" and b > a and text[b - 1] in ".-":
             b -= 1
-        yield m.lastgroup, a, b, text[max(0, a - 24) : a], text[b : b + 2]
+        yield "secret" if kind == "pem" else kind, a, b, text[max(0, a - 24) : a], text[b : b + 2]
 
 
-#: Bytes that every proposal has one of.
-_SIGNS = re.compile(rb"[0-9@]")
+#: What every proposal has one of.
+_SIGNS = re.compile(rb"[0-9@]|::|(?:[0-9A-Fa-f]{1,4}:){6}|PRIVATE KEY|(?i:passw|passphrase|pwd|token|secret|key|auth|credential|bearer)")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
