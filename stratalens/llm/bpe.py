@@ -2,7 +2,7 @@
 
 Spark's higher-order functions fold the ranked merges over a word's bytes: each step looks up the rank of every two neighbouring pieces joined and merges the leftmost pair of least rank. The ranks are a literal: an array of small maps, by hash, so that a look-up doesn't search all keys. Words are counted over the whole table; the fold runs once for each distinct word that occurs often, and the frequent words' ids become a second literal, of at most FREQUENT entries whatever the size of the table. Words that it lacks are folded where they occur, so no exchange ever holds the texts. Decoding looks up the ids' binary pieces and concatenates them.
 
-A vocabulary is a file of base64 pieces and ranks, the path a parameter; it isn't copied into the repository. A merge of long runs takes time with the square of their length, so documents with a run of more than LONG characters that are all spaces or all not spaces are encoded by encode_whole instead, a heap of pairs in Python, with equal results.
+A vocabulary is a file of base64 pieces and ranks, the path a parameter; it isn't copied into the repository. The fold of one word takes time with the square of its length, so words of more than LONG characters, and these alone, are merged by encode_word instead, a heap of pairs in Python, with equal results; words that the literal lacks are folded at each place, as joining them to their documents would exchange all texts.
 
 Defined cases: a null text has null tokens, an empty one none; repeated rows are encoded alike; other columns don't matter. Texts that aren't valid UTF-8 are read as Java reads them.
 """
@@ -14,6 +14,7 @@ import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,9 @@ from stratalens.llm import common, textcols
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 FREQUENT, LONG = 1 << 18, 64
+#: More than the bytes of a word that is folded.
+PLACE_BITS = 20
+PLACES = 1 << PLACE_BITS
 _WHITE = r"\u0009-\u000d \u0085   -     　"
 #: Letters first, as most words are letters: no other branch can begin where they match.
 PATTERN = rf" ?\p{{L}}++| ?\p{{N}}++|'(?:[stmd]|re|ve|ll)| ?[^{_WHITE}\p{{L}}\p{{N}}]++|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
@@ -68,18 +72,18 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 def folder(spark: SparkSession, ranks: dict[bytes, int]) -> Callable[[Column], Column]:
     """A function from a binary column to the ids of its pieces after all merges.
 
-    The fold's state is the array of pieces, a character for each, so that a string holds it; a step looks up the rank of every two neighbours joined, in a literal map of all pairs of pieces that the vocabulary joins, and puts the leftmost pair of least rank together.
+    The fold's state is the string of pieces, a character for each; a step looks up the rank of every two neighbours joined, in a literal map of all pairs of pieces that the vocabulary joins, and puts the leftmost pair of least rank together. Rank and place are one number, so that the least of them tells both.
     """
-    pairs = [(char(ranks[w[:k]]) + char(ranks[w[k:]]), r) for w, r in ranks.items() for k in range(1, len(w)) if w[:k] in ranks and w[k:] in ranks]
-    rank = map_literal(spark, pa.array([k for k, _ in pairs], pa.string()), pa.array([r for _, r in pairs], pa.int32()))
+    pairs = [(char(ranks[w[:k]]) + char(ranks[w[k:]]), r * PLACES) for w, r in ranks.items() for k in range(1, len(w)) if w[:k] in ranks and w[k:] in ranks]
+    rank = map_literal(spark, pa.array([k for k, _ in pairs], pa.string()), pa.array([r for _, r in pairs], pa.int64()))
     chars = array_literal(spark, pa.array([char(i) for i in range(max(ranks.values()) + 1)], pa.string()))
     single = [i for i in range(256) if bytes([i]) in ranks]
 
     def fold(word: Column) -> Column:
         def step(s: Column, _: Column) -> Column:
-            ranks = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - 1)), lambda i: rank(F.substring(s, i, F.lit(2))))
-            joined = lambda r, m: let(F.array_position(r, m).cast("int"), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.get(chars, m), F.substring(s, i + 2, F.length(s))))
-            return let(ranks, lambda r: let(F.array_min(r), lambda m: F.when(m.isNull(), s).otherwise(joined(r, m))))
+            found = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - 1)), lambda i: rank(F.substring(s, i, F.lit(2))) + i)
+            joined = lambda m, i: F.concat(F.substring(s, F.lit(1), i - 1), F.get(chars, F.shiftright(m, PLACE_BITS).cast("int")), F.substring(s, i + 2, F.length(s)))
+            return let(F.array_min(found), lambda m: F.when(m.isNull(), s).otherwise(joined(m, m.bitwiseAND(PLACES - 1).cast("int"))))
 
         start = F.translate(F.decode(word, "ISO-8859-1"), "".join(map(chr, single)), "".join(char(ranks[bytes([i])]) for i in single))
         done = F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, step)
@@ -170,27 +174,34 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, frequent: int = FREQUE
     ranks = read_ranks(vocabulary)
     folded = folder(spark, ranks)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    is_long = F.coalesce(F.col("text").rlike(rf"[^{_WHITE}]{{{long + 1}}}|[{_WHITE}]{{{long + 1}}}"), F.lit(False))
-    split = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
-    usual = d.where(~is_long)
-    often = frequent_words(usual, frequent).select(F.col("word").cast("string").alias("key"), folded(F.col("word")).alias("ids")).toArrow()
-    known = dict(zip(often.column(0).to_pylist(), often.column(1).to_pylist(), strict=True))
-    for piece, i in ranks.items():  # a word that is a piece is that piece
-        try:
-            known[piece.decode()] = [i]
-        except UnicodeDecodeError:
-            pass
-    look_up = map_literal(spark, pa.array(list(known), pa.string()), pa.array(list(known.values()), pa.list_(pa.int32())))
-    del known, often
-    in_jvm = usual.select("doc_id", "text", F.flatten(F.transform(split, lambda w: F.coalesce(look_up(w), folded(w.cast("binary"))))).alias("tokens"))
+    often = frequent_words(d, frequent).select(F.col("word").cast("string").alias("key"), folded(F.col("word")).alias("ids")).toArrow()
+    pieces = [(w, i) for w, i in ranks.items() if w.isascii() or is_text(w)]  # a word that is a piece is that piece
+    keys = pa.concat_arrays([often.column(0).combine_chunks().cast(pa.string()), pa.array([w for w, _ in pieces], pa.binary()).cast(pa.string())])
+    ids = pa.concat_arrays([often.column(1).combine_chunks().cast(pa.list_(pa.int32())), pa.array([[i] for _, i in pieces], pa.list_(pa.int32()))])
+    look_up = map_literal(spark, keys, ids)
+    del often, pieces, keys, ids
     shared = spark.sparkContext.broadcast(ranks)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tokens = pa.array([encode_whole(t, shared.value) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), tokens], ["doc_id", "text", "tokens"])
-
-    return in_jvm.unionByName(d.where(is_long).mapInArrow(run, "doc_id long, text string, tokens array<int>"))
+    @F.pandas_udf("array<array<int>>")
+    def merged(words: pd.Series) -> pd.Series:
+        return words.map(lambda ws: [None if w is None else encode_word(w.encode(), shared.value) for w in ws])
+
+    split = d.withColumn("words", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    is_long = lambda w: F.length(w) > long
+    # for each word its ids, or null where it isn't long; no array where no word is
+    at_long = F.when(F.exists("words", is_long), F.transform("words", lambda w: F.when(is_long(w), w))).otherwise(F.array().cast("array<string>"))
+    split = split.withColumn("long", merged(at_long))
+    ids_of = lambda w: F.coalesce(look_up(w), folded(w.cast("binary")))
+    tokens = F.when(F.size("long") > 0, F.zip_with("words", "long", lambda w, x: F.coalesce(x, ids_of(w)))).otherwise(F.transform("words", ids_of))
+    return split.select("doc_id", "text", F.when(F.col("text").isNotNull(), F.flatten(tokens)).alias("tokens"))
+
+
+def is_text(piece: bytes) -> bool:
+    try:
+        piece.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def decoded(spark: SparkSession, tokens: Column, vocabulary: str = VOCABULARY) -> Column:
