@@ -4,7 +4,7 @@ Suffixes are sorted where equal ones can meet. Every run of MIN_WORDS words belo
 
 Documents of equal texts are taken as one, and its copies get its place.
 
-Defined cases: words are runs of bytes above 32, compared as bytes; a passage that occurs again only within its own document isn't a repeat; null or empty texts, texts under MIN_WORDS words and rows with a null doc_id have none; rows of one doc_id are one document; other columns don't matter. Of each passage the least doc_id keeps its copy.
+Defined cases: words are runs of bytes above 32, compared as bytes; a passage that occurs again only within its own document isn't a repeat; null or empty texts, texts under MIN_WORDS words and rows with a null doc_id have none; rows of one doc_id are one document, whose texts may differ: a passage in two of its texts isn't a repeat, and spans count the words of the text they are in; an empty table has none; a document of any length is read whole; other columns don't matter. Of each passage the least doc_id keeps its copy.
 """
 
 from __future__ import annotations
@@ -172,30 +172,31 @@ def again(texts: pa.Array, low: np.ndarray, high: np.ndarray, length: int) -> tu
 
 def repeats(docs: DataFrame, length: int = MIN_WORDS, anchor: int = ANCHOR, block: int = BLOCK) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, keep): the longest stretches of each document that runs of `length` words found in other documents cover; keep: the document has the least doc_id of all that have these runs."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text <> ''")
+    common.small_batches(docs.sparkSession)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text <> ''").withColumn("part", F.xxhash64("text"))
     same = d.groupBy(F.unhex(F.md5("text")).alias("key")).agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("high")).where("lead <> high")
-    same = common.stored(d.select("doc_id", F.unhex(F.md5("text")).alias("key")).join(same, "key").select("doc_id", "lead", "high").distinct(), "same")
-    one = common.with_small(d, same, "doc_id", "left").where("lead is null or lead = doc_id").select("doc_id", "text", F.coalesce("high", "doc_id").alias("high"))
+    same = common.stored(d.select("doc_id", "part", F.unhex(F.md5("text")).alias("key")).join(same, "key").select("doc_id", "part", "lead", "high").distinct(), "same")
+    one = common.with_small(d, same, ["doc_id", "part"], "left").where("lead is null or lead = doc_id").select("doc_id", "text", F.coalesce("high", "doc_id").alias("high"), "part")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, high = (b.column(k).to_numpy() for k in (0, 2))
+            ids, high, part = (b.column(k).to_numpy() for k in (0, 2, 3))
             for lo, _, buf, bounds in textcols.chunks(b.column(1)):
                 starts, ends, first = textcols.words(buf, bounds)
                 doc, at, runs, key = slices(textcols.span_hash(buf, starts, ends), first, length, anchor)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[lo + doc]), pa.array(high[lo + doc]), pa.array((at - first[doc]).astype(np.int32)), pa.array(runs.astype(np.int32))], ["key", "doc_id", "high", "at", "runs"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[lo + doc]), pa.array(high[lo + doc]), pa.array((at - first[doc]).astype(np.int32)), pa.array(runs.astype(np.int32)), pa.array(part[lo + doc])], ["key", "doc_id", "high", "at", "runs", "part"])
 
     key = Window.partitionBy("key")
-    cuts = one.mapInArrow(cut, "key long, doc_id long, high long, at int, runs int")
+    cuts = one.mapInArrow(cut, "key long, doc_id long, high long, at int, runs int, part long")
     cuts = cuts.withColumns({"a": F.min("doc_id").over(key), "b": F.max("high").over(key)}).where("a <> b")
-    cuts = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "runs", "key"))).alias("cuts"))
+    cuts = cuts.groupBy("doc_id", "part").agg(F.array_sort(F.collect_list(F.struct("at", "runs", "key"))).alias("cuts"))
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(3)
+            lists = b.column(4)
             bound, flat = lists.offsets.to_numpy(), lists.values
             at, runs, key = (flat.field(k).to_numpy() for k in ("at", "runs", "key"))
-            ids, high = b.column(0).to_numpy(), b.column(2).to_numpy()
+            ids, high, part = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy()
             for lo, hi, buf, bounds in textcols.chunks(b.column(1)):
                 starts, ends, first = textcols.words(buf, bounds)
                 i, j = bound[lo], bound[hi]
@@ -203,10 +204,12 @@ def repeats(docs: DataFrame, length: int = MIN_WORDS, anchor: int = ANCHOR, bloc
                 w = first[doc] + at[i:j]
                 raw = buf.tobytes()
                 text = [raw[x:y] for x, y in zip(starts[w].tolist(), ends[w + runs[i:j] + length - 2].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[i:j]), pa.array(text, pa.binary()), pa.array(ids[lo + doc]), pa.array(high[lo + doc]), pa.array(at[i:j])], ["key", "slice", "doc_id", "high", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[i:j]), pa.array(text, pa.binary()), pa.array(ids[lo + doc]), pa.array(high[lo + doc]), pa.array(at[i:j]), pa.array(part[lo + doc])], ["key", "slice", "doc_id", "high", "at", "part"])
 
-    pieces = one.join(cuts, "doc_id").select("doc_id", "text", "high", "cuts").mapInArrow(shown, "key long, slice binary, doc_id long, high long, at int")
-    pieces = pieces.repartition("key").groupBy("key", "slice").agg(F.min("doc_id").alias("low"), F.max("high").alias("high"), F.collect_list(F.struct("doc_id", "at")).alias("places")).sortWithinPartitions("key")
+    shown_in = one.join(cuts, ["doc_id", "part"]).select("doc_id", "text", "high", "part", "cuts").mapInArrow(shown, "key long, slice binary, doc_id long, high long, at int, part long")
+    cut_out = common.stored(shown_in.withColumn("hash", F.xxhash64("slice")), "slices")
+    # equal slices are one row here, however often they occur; their places meet the result again by hash
+    pieces = cut_out.groupBy("key", "slice").agg(F.min("doc_id").alias("low"), F.max("high").alias("high")).withColumn("hash", F.xxhash64("slice")).repartition("key").sortWithinPartitions("key")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -234,21 +237,16 @@ def repeats(docs: DataFrame, length: int = MIN_WORDS, anchor: int = ANCHOR, bloc
         b = pa.Table.from_batches(held).combine_chunks()
         col = lambda k: b.column(k).combine_chunks()
         s, lo, hi, lead = again(col(1), col(2).to_numpy(), col(3).to_numpy(), length)
-        places = col(4)
-        bound = places.offsets.to_numpy()
-        n = bound[s + 1] - bound[s]
-        which = np.repeat(np.arange(len(s)), n)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + bound[s][which]
-        ids, start = places.values.field("doc_id").to_numpy()[at], places.values.field("at").to_numpy()[at].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start + lo[which]), pa.array(start + hi[which] + length - 1), pa.array(lead[which] == ids)], ["doc_id", "start_word", "end_word", "keep"])
+        yield pa.RecordBatch.from_arrays([col(0).take(pa.array(s)), col(4).take(pa.array(s)), pa.array(lo), pa.array(hi + length - 1), pa.array(lead)], ["key", "hash", "lo", "hi", "lead"])
 
-    runs = pieces.mapInArrow(sort, "doc_id long, start_word long, end_word long, keep boolean")
-    copies = common.with_small(d, same.where("doc_id <> lead").select("doc_id"), "doc_id", "left_semi")
-    copies = copies.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.regexp_count("text", F.lit(r"[^\x00-\x20]+")).cast("long").alias("end_word"), F.lit(False).alias("keep")).where(F.col("end_word") >= length)
-    doc = Window.partitionBy("doc_id", "keep").orderBy("start_word", "end_word")
+    found = pieces.mapInArrow(sort, "key long, hash long, lo long, hi long, lead long")
+    runs = cut_out.select("key", "hash", "doc_id", "part", "at").join(found, ["key", "hash"]).select("doc_id", "part", (F.col("at") + F.col("lo")).alias("start_word"), (F.col("at") + F.col("hi")).alias("end_word"), (F.col("lead") == F.col("doc_id")).alias("keep"))
+    copies = common.with_small(d, same.where("doc_id <> lead").select("doc_id", "part"), ["doc_id", "part"], "left_semi").dropDuplicates(["doc_id", "part"])
+    copies = copies.select("doc_id", "part", F.lit(0).cast("long").alias("start_word"), F.regexp_count("text", F.lit(r"[^\x00-\x20]+")).cast("long").alias("end_word"), F.lit(False).alias("keep")).where(F.col("end_word") >= length)
+    doc = Window.partitionBy("doc_id", "part", "keep").orderBy("start_word", "end_word")
     out = runs.unionByName(copies).withColumn("reach", F.max("end_word").over(doc.rowsBetween(Window.unboundedPreceding, -1)))
     out = out.withColumn("stretch", F.sum(F.when(F.col("start_word") <= F.col("reach"), 0).otherwise(1)).over(doc.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.groupBy("doc_id", "keep", "stretch").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"))
+    out = out.groupBy("doc_id", "part", "keep", "stretch").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"))
     return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "keep")
 
 
