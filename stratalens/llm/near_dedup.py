@@ -2,7 +2,7 @@
 
 A document's shingles are its runs of SHINGLE words (runs of ASCII letters and digits and of all other characters' bytes, ASCII case ignored). Shingle hashes go through the permutation sigma into a universe of 2 ** 20 points; coordinate k of the signature is the least pi[(sigma(x) + k) mod 2 ** 20] over the shingles x: the second permutation, circularly shifted, gives all coordinates, and the values that one shingle brings lie side by side in its table. Bands of ROWS coordinates choose candidate pairs; the exact Jaccard index of the shingle sets decides; groups are the connected components.
 
-Defined cases: fewer words than SHINGLE make one shingle; a text with no word (signs only) is one shingle as a whole; null or empty texts and rows with a null doc_id are near nothing and kept; rows with one doc_id count as one document; other columns don't matter.
+Defined cases: fewer words than SHINGLE make one shingle; a text with no word (signs only) is one shingle as a whole; null or empty texts and rows with a null doc_id are near nothing and kept; rows of one doc_id count as one document, near whatever any of its texts is near; a document is in one group only, of ties the least doc_id is kept; an empty table gives no group; a text of any length is read whole; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from stratalens.llm import common, textcols
@@ -70,7 +71,7 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
-    """(doc_id, whole: a hash of the shingle set, bands: array of the bands' hashes) of each document with a text."""
+    """(doc_id, part: the text's hash, whole: one of the shingle set, bands: array of the bands' hashes) of each document with a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = textcols.mix(np.arange(1, bands + 1, dtype=U))
@@ -88,10 +89,11 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
                     keys.append(acc.view(np.int64))
             keys = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * bands), keys)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(np.array(whole, U).view(np.int64)), lists], ["doc_id", "whole", "bands"])
+            at = pa.array(ids, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(np.array(whole, U).view(np.int64)), lists], ["doc_id", "part", "whole", "bands"])
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text <> ''")
-    return d.mapInArrow(run, "doc_id long, whole long, bands array<long>")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text <> ''").withColumn("part", F.xxhash64("text"))
+    return d.mapInArrow(run, "doc_id long, part long, whole long, bands array<long>")
 
 
 def jaccard(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -105,50 +107,53 @@ def jaccard(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataF
                 j[i] = both / max(1, len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(j)], ["a", "b", "j"])
 
-    t = texts.select("doc_id", "text")
-    joined = pairs.join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    joined = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, j double")
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
     """(doc_id, group_id, group_size, keep) of each document in a group of two or more; group_id is the group's least doc_id, the one to keep.
 
-    Documents of equal shingle sets are joined first and one of them stands for all. In each band's bucket, all are compared with the least one; then the pairs in a bucket that this leaves in different groups are compared too, so that every candidate pair is decided exactly, without the square of a group of copies.
+    The nodes are the distinct shingle sets, so that documents of equal ones are joined first and one text stands for all. In each band's bucket, all are compared with the least one; then the pairs in a bucket that this leaves in different groups are compared too, so that every candidate pair is decided exactly, without the square of a group of copies. The sets of one doc_id are joined as well.
     """
+    common.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sigs = common.stored(signatures(docs, shingle, bands, rows, seed), "sigs")
-    reps = sigs.groupBy("whole").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))
+    reps = sigs.groupBy("whole").agg(F.min(F.struct("doc_id", "part", "bands")).alias("r")).select(F.col("whole").alias("rep"), "r.doc_id", "r.part", "r.bands")
     key = Window.partitionBy("key")
-    buckets = common.stored(reps.select("rep", F.explode("bands").alias("key")).withColumns({"lead": F.min("rep").over(key), "high": F.max("rep").over(key)}).where("lead <> high").select("key", "rep", "lead"), "buckets")
-    texts = common.stored(common.with_small(docs, buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    buckets = common.stored(reps.select("rep", "doc_id", "part", F.explode("bands").alias("key")).withColumns({"lead": F.min("rep").over(key), "high": F.max("rep").over(key)}).where("lead <> high").select("key", "rep", "lead", "doc_id", "part"), "buckets")
+    chosen = buckets.select("rep", "doc_id", "part").distinct()
+    texts = docs.where("text <> ''").withColumn("part", F.xxhash64("text"))
+    texts = common.stored(common.with_small(texts, chosen, ["doc_id", "part"], "inner").dropDuplicates(["rep"]).select("rep", "text"), "candidates")
     stars = common.stored(jaccard(buckets.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), texts, shingle), "stars")
     near = stars.where(F.col("j") >= threshold).select("a", "b")
     parts = common.components(near, "parts")
     # a bucket's members outside its leader's group, against all of other groups in that bucket
-    inside = buckets.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    inside = buckets.select("key", "rep", "lead").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     at_lead = F.max(F.when(F.col("rep") == F.col("lead"), F.col("root"))).over(key)
     open_ = common.stored(inside.withColumn("at_lead", at_lead).withColumn("odd", F.col("root") != F.col("at_lead")).withColumn("any", F.max("odd").over(key)).where("any").select("key", "rep", "lead", "root", "odd"), "open")
     x, y = open_.where("odd").alias("x"), open_.alias("y")
     rest = x.join(y, "key").where("x.root <> y.root and y.rep <> y.lead and (not y.odd or x.rep > y.rep)").select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
     more = jaccard(rest.join(stars, ["a", "b"], "left_anti"), texts, shingle).where(F.col("j") >= threshold).select("a", "b")
-    roots = common.components(near.union(more), "groups").withColumnRenamed("node", "rep")
-    same = sigs.groupBy("whole").agg(F.min("doc_id").alias("rep"))
-    ids = sigs.select("doc_id", "whole").join(same, "whole").select("doc_id", "rep").distinct()
-    grouped = ids.join(roots, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("group_id"))
-    grouped = grouped.groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
-    sized = grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    return grouped.join(sized, "group_id").select("doc_id", "group_id", "group_size", (F.col("doc_id") == F.col("group_id")).alias("keep"))
+    ids = sigs.select("doc_id", "whole").distinct()
+    several = ids.groupBy("doc_id").agg(F.min("whole").alias("b"), F.collect_set("whole").alias("a")).where("size(a) > 1").select(F.explode("a").alias("a"), "b")
+    roots = common.components(near.union(more).union(several), "groups").withColumnRenamed("node", "whole")
+    grouped = ids.join(roots, "whole", "left").select("doc_id", F.coalesce("root", "whole").alias("root")).distinct()
+    sized = grouped.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    return grouped.join(sized, "root").select("doc_id", "group_id", "group_size", (F.col("doc_id") == F.col("group_id")).alias("keep"))
 
 
 def drop_near_copies(docs: DataFrame, **parameters) -> DataFrame:
-    """docs, all columns, with one document of each group, the one of the least doc_id; of repeated rows (same doc_id and text) one stays."""
+    """docs, all columns, with one document of each group, the one of the least doc_id; of repeated rows (same doc_id and text) one stays, the one whose other columns hash least."""
     gone = common.stored(groups(docs, **parameters).where("not keep").select("doc_id"), "gone")
     left = common.with_small(docs.alias("d"), gone, "doc_id", "left_anti")
     twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     twice = common.stored(twice, "twice")
     if twice.isEmpty():
         return left
-    return common.with_small(left, twice, "doc_id", "left_anti").unionByName(common.with_small(left, twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    same = Window.partitionBy("doc_id", "text").orderBy(F.xxhash64(*[c for c in docs.columns if not isinstance(docs.schema[c].dataType, T.MapType)]))
+    again = common.with_small(left, twice, "doc_id", "left_semi").select(*docs.columns, F.row_number().over(same).alias("__copy"))
+    return common.with_small(left, twice, "doc_id", "left_anti").unionByName(again.where(F.col("__copy") == 1).drop("__copy"))
 
 
 def brute_groups(pdf: pd.DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> dict[int, int]:
