@@ -2,13 +2,14 @@
 
 A wide pattern proposes spans: whatever looks like an address, a run of digits, a dotted quad or a long token, right or wrong. Labelers vote on each, for or against or not at all: patterns (full syntax, check digits), gazetteers (domains, prefixes, key words) and context (words before, signs around). Expectation-maximisation over all votes (a naive Bayes mixture of two classes for each kind) estimates how reliable each labeler is and the spans' probabilities, with no hand label; on these a logistic regression over the span's own features is trained, the final classifier, which decides every span. Only counts of vote and feature patterns, whose number the labelers bound, come to the driver; they cover all documents.
 
-Defined cases: a null or empty text has no span; repeated rows have equal spans; spans are offsets in characters, end exclusive, and don't overlap (a proposal that another overlaps gives way to the one that starts first, then to the longer); other columns don't matter.
+Votes look at the 24 characters before a span and the 2 after it. Words of letters only are proposed as secrets after a key word or in a known form, not elsewhere.
+
+Defined cases: a null or empty text has no span, nor has an empty table; a text of any length is read whole; a probability of exactly 0.5 counts as private; repeated rows have equal spans; spans are offsets in characters, end exclusive, and don't overlap (a proposal that another overlaps gives way to the one that starts first, then to the longer); other columns don't matter.
 """
 
 from __future__ import annotations
 
 import ipaddress
-import json
 import re
 from collections.abc import Iterator
 
@@ -27,14 +28,17 @@ PROPOSE = re.compile(
     r"(?P<email>[\w.+-]{1,64}@[\w-]+(?:\.[\w-]+)*)"
     r"|(?P<ip>(?<![\w:.])(?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{1,4}:){6,7}[0-9A-Fa-f])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]{0,4})(?![\w:])|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.]*\d))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<secret>(?<![\w-])(?:(?=[\w-]*\d)(?=[\w-]*[A-Za-z])[A-Za-z0-9_-]{20,}|AKIA[A-Z0-9]{12,})(?![\w-])|(?<![\w+/=-])(?=[\w+/-]*[+/])(?=[\w+/-]*\d)(?=[\w+/-]*[a-z])(?=[\w+/-]*[A-Z])[A-Za-z0-9_+/-]{20,}={0,2}(?![\w+/=-]))"
+    r"|(?P<secret>(?<![\w-])(?:(?=[\w-]*\d)(?=[\w-]*[A-Za-z])[A-Za-z0-9_-]{20,}|AKIA[A-Z0-9]{12,}|gh[pousr]_[A-Za-z0-9]{16,}|xox[bap]-[A-Za-z0-9-]{10,})(?![\w-])|(?<![\w+/=-])(?=[\w+/-]*[+/])(?=[\w+/-]*\d)(?=[\w+/-]*[a-z])(?=[\w+/-]*[A-Z])[A-Za-z0-9_+/-]{20,}={0,2}(?![\w+/=-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.])(?!00(?:[ -]?\d){11,13}(?![ -]?\d|\w))\d(?:[ -]?\d){12,18}(?!\w))"
     r"|(?P<phone>(?<![\w.])(?:(?=[+(]{0,2}(?:%s{0,3}\d){7})(?:\+ ?)?(?:\(\+?\d{1,5}\)|\d)(?:%s{0,2}(?:\(\d{1,5}\)|\d)){2,14}(?!\w|\.\d)" % (r"[ ./()+\u00a0\u202f\u2011\u2013-]", r"[ ./\u00a0\u202f\u2011\u2013-]") +
     r"|(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,5}){1,4}(?![\w.]*\d)))"
 )
 #: Gazetteers.
-_TLD = {"com", "org", "net", "edu", "gov", "info", "io", "co", "uk", "de", "fr", "es", "it", "eu", "us", "ca", "biz", "me", "app", "dev"}
+_COUNTRIES = "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
+_TLD = set(_COUNTRIES.split()) | set("com org net edu gov mil int info biz name pro aero coop museum jobs mobi travel tel cat asia post app dev page cloud online site shop store tech blog xyz club live news email work world today agency company group digital media network systems solutions services support software design studio team wiki zone email global academy art bank bio care city community consulting events finance fund health house law life ltd market money one photo social space video web website win".split())
+#: Length of an IBAN by country.
+_IBAN = {k[:2]: int(k[2:]) for k in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split()}
 _KEYWORD = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_ -]?key|access[_ -]?key|auth(?:orization)?|credentials?|private[_ -]?key|bearer)\W{0,6}$")
 _ASSIGN = re.compile(r"(?i)(?:[=:]>?\s*(?:(?:bearer|basic)\s+)?|bearer\s+)[\"'`]?$")
 #: Too short for the entropy to tell, but of letters and of other signs.
@@ -48,6 +52,7 @@ _NUMBERING = re.compile(r"(?i)(?:version|ver|v|section|chapter|release|page|fig|
 _GROUPS = re.compile(r"(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4}|(?:(?:\+|00)\d{2}(?: ?\(0\))?[ .-]?\d|0\d)(?:[ .-]\d\d){4}")
 _ABROAD = re.compile(r"\(?(?:\+|00) ?[1-9]\d{0,2}\)?(?:\W{0,2}\d){6,14}|\(?(?:\+|00) ?[1-9]\d{0,2}\)?(?:[^\w(]{0,2}\(\d{1,5}\))(?:\W{0,2}\d){5,13}")
 LABELERS = ["syntax", "check", "gazetteer", "context", "against"]
+FEATURES = 9
 
 
 def luhn(digits: str) -> bool:
@@ -105,13 +110,28 @@ def votes(kind: str, span: str, before: str, after: str) -> list[int]:
         a, b, c = span.split("-")
         return [1, -1 if a in ("000", "666") or a[0] == "9" or b == "00" or c == "0000" else 1, 0, 1 if re.search(r"(?i)(?:ssn|social|security)\W*(?:\w+\W+)?$", before) else 0, against]
     flat = span.replace(" ", "")
-    return [1 if 15 <= len(flat) <= 34 else -1, 1 if mod97(flat) else -1, 1 if flat[:2] in {"DE", "FR", "ES", "GB", "IT", "NL", "BE", "AT", "CH", "PT", "IE", "PL", "SE", "NO", "DK", "FI"} else 0, 1 if _PAY.search(before) else 0, against]
+    return [1 if 15 <= len(flat) <= 34 else -1, 1 if mod97(flat) else -1, 1 if _IBAN.get(flat[:2]) == len(flat) else -1 if flat[:2] in _IBAN else 0, 1 if _PAY.search(before) else 0, against]
+
+
+def pattern(kind: str, span: str, before: str, after: str) -> int:
+    """Votes, two bits each, then features, one bit each."""
+    v, out = votes(kind, span, before, after), 0
+    for x in v:
+        out = out * 4 + x + 1
+    for x in features(kind, span, before, after, v):
+        out = out * 2 + x
+    return out
 
 
-def features(kind: str, span: str, before: str, after: str) -> list[int]:
+def unpacked(pattern: int) -> tuple[list[int], list[int]]:
+    bits = [pattern >> k & 1 for k in range(FEATURES - 1, -1, -1)]
+    rest = pattern >> FEATURES
+    return [(rest >> 2 * k & 3) - 1 for k in range(len(LABELERS) - 1, -1, -1)], bits
+
+
+def features(kind: str, span: str, before: str, after: str, v: list[int]) -> list[int]:
     """Of the final classifier; all of them 0 or 1, so that spans fall into few patterns."""
     digits = re.sub(r"\D", "", span)
-    v = votes(kind, span, before, after)
     checked = {"card": luhn(digits) if digits else False, "iban": kind == "iban" and v[1] == 1}.get(kind, v[1] == 1)
     return [int(checked), int(v[0] == 1), int(v[2] == 1), int(v[2] == -1), int(v[3] == 1), int(v[4] == -1), int(before[-1:].isspace() or not before), int(after[:1].isspace() or not after), int(len(span) >= 16)]
 
@@ -134,38 +154,49 @@ def proposals(text: str) -> Iterator[tuple[str, int, int, str, str]]:
         yield "secret" if kind == "pem" else kind, a, b, text[max(0, a - 24) : a], text[b : b + 2]
 
 
-#: What every proposal has one of.
-_SIGNS = re.compile(rb"[0-9@]|::|(?:[0-9A-Fa-f]{1,4}:){6}|PRIVATE KEY|(?i:passw|passphrase|pwd|token|secret|key|auth|credential|bearer)")
+_DIGIT = re.compile(r"[\d@]")
+_FORM = re.compile("gh[pousr]_")
+_HEX = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){6}")
+#: Each key word of PROPOSE has one of these, in small letters.
+_STEMS = ("passw", "passphrase", "pwd", "token", "secret", "key", "auth", "credential", "bearer")
+
+
+def may_have(text: str) -> bool:
+    """Whether PROPOSE can match anywhere: each of its branches asks for a digit (of any script), an @, two colons, six groups of hex digits, AKIA or a key word."""
+    if _DIGIT.search(text) or "::" in text or "AKIA" in text or "gh" in text and _FORM.search(text) or "xox" in text or ("ſ" in text or "\u212a" in text):  # the last two are S and K to a pattern without case
+        return True
+    small = text.lower()
+    return any(s in small for s in _STEMS) or (text.count(":") > 5 and _HEX.search(text) is not None)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, start, end, span, pattern: the votes and features as JSON) of all proposed spans."""
+    """(doc_id, kind, start, end, span, pattern: the votes and features as one number) of all proposed spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if _SIGNS.search(memoryview(t.as_buffer())):
-                    rows += [(i, k, x, y, json.dumps([votes(k, t_[x:y], p, q), features(k, t_[x:y], p, q)])) for t_ in (t.as_py(),) for k, x, y, p, q in proposals(t_)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()))], ["doc_id", "kind", "start", "end", "pattern"])
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if may_have(t):
+                    rows += [(i, k, x, y, pattern(k, t[x:y], p, q)) for k, x, y, p, q in proposals(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "kind", "start", "end", "pattern"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
-    return d.mapInArrow(run, "doc_id long, kind string, start int, end int, pattern string")
+    return d.mapInArrow(run, "doc_id long, kind string, start int, end int, pattern int")
 
 
 def reliabilities(votes: np.ndarray, n: np.ndarray, check_digits: bool = False, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """Expectation-maximisation over vote patterns with their counts: (probability of each pattern, table [class, labeler, vote + 1], share of the true class). It starts from the majority of the votes. check_digits: the labeler "check" computes them, so its votes against are known to be right but for one in a thousand."""
+    """Expectation-maximisation over vote patterns with their counts: (probability of each pattern, table [class, labeler, vote + 1], share of the true class). It starts from the majority of the votes. check_digits: the labeler "check" computes them, so that, before any data, its votes against are taken to be right but for one in a thousand, with ten times the weight of the data."""
     s = votes.sum(1)
     p = np.where(s > 0, 0.9, np.where(s < 0, 0.1, 0.5))
     onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
     # before any data each labeler is right more often than wrong when it votes; so a kind with one class only keeps it
-    prior = np.array([[4.0, 3.0, 1.0], [1.0, 3.0, 4.0]])[:, None, :]
+    prior = np.repeat(np.array([[4.0, 3.0, 1.0], [1.0, 3.0, 4.0]])[:, None, :], votes.shape[1], 1)
+    if check_digits:
+        prior[1, 1] = np.array([0.001, 0.001, 0.998]) * (1000 + 10 * n.sum())
     for _ in range(rounds):
         w = np.stack([(1 - p) * n, p * n])
         table = np.einsum("cp,plv->clv", w, onehot) + prior
         table /= table.sum(2, keepdims=True)
-        if check_digits:
-            table[1, 1] = np.array([0.001, 0.001, 0.998])
         share = (w[1].sum() + 1) / (n.sum() + 2)
         ll = np.einsum("plv,clv->cp", onehot, np.log(table))
         new = 1 / (1 + np.exp(np.clip(ll[0] + np.log(1 - share) - ll[1] - np.log(share), -500, 500)))
@@ -191,14 +222,14 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = 1.0,
     return w
 
 
-def classifier(found: DataFrame) -> dict[str, dict[str, float]]:
+def classifier(found: DataFrame) -> dict[str, dict[int, float]]:
     """For each kind the probability of each pattern that occurs."""
     counts = found.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n")).collect()
-    out: dict[str, dict[str, float]] = {}
+    out: dict[str, dict[int, float]] = {}
     for kind in KINDS:
         rows = sorted((r.pattern, r.n) for r in counts if r.kind == kind)
         if rows:
-            both = [json.loads(p) for p, _ in rows]
+            both = [unpacked(p) for p, _ in rows]
             v, x, n = np.array([b[0] for b in both]), np.array([b[1] for b in both]), np.array([k for _, k in rows], float)
             soft, _, _ = reliabilities(v, n, kind in CHECK_DIGITS)
             w = logistic(x, soft, n)
@@ -209,14 +240,16 @@ def classifier(found: DataFrame) -> dict[str, dict[str, float]]:
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, start, end, probability, is_private) of all proposed spans of all documents; is_private: 0.5 or more."""
+    common.small_batches(docs.sparkSession)
     found = common.stored(candidates(docs), "spans")
     table = [(k, p, q) for k, ps in classifier(found).items() for p, q in ps.items()]
-    scored = found.join(F.broadcast(docs.sparkSession.createDataFrame(table or [("", "", 0.0)], "kind string, pattern string, probability double")), ["kind", "pattern"])
+    scored = found.join(F.broadcast(docs.sparkSession.createDataFrame(table or [("", 0, 0.0)], "kind string, pattern int, probability double")), ["kind", "pattern"])
     return scored.select("doc_id", "kind", "start", "end", "probability", (F.col("probability") >= 0.5).alias("is_private"))
 
 
 def masked(docs: DataFrame) -> DataFrame:
     """docs, all columns, with each private span of the text replaced by <KIND>, and n_chars, where there is such a column, brought up to date for the texts that change."""
+    common.small_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(classifier(common.stored(candidates(docs), "spans")))
     names = docs.columns
     at, n_at = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
@@ -225,12 +258,11 @@ def masked(docs: DataFrame) -> DataFrame:
         for b in batches:
             texts: list[str | None] = []
             changed = False
-            for t in b.column(at):
-                s = t.as_py() if t.is_valid else None
-                if s and _SIGNS.search(memoryview(t.as_buffer())):
+            for s in b.column(at).to_pylist():
+                if s and may_have(s):
                     out, last = [], 0
                     for k, x, y, p, q in proposals(s):
-                        if table.value.get(k, {}).get(json.dumps([votes(k, s[x:y], p, q), features(k, s[x:y], p, q)]), 0.0) >= 0.5:
+                        if table.value.get(k, {}).get(pattern(k, s[x:y], p, q), 0.0) >= 0.5:
                             out += [s[last:x], f"<{k.upper()}>"]
                             last = y
                     if out:

@@ -38,13 +38,13 @@ SECRETS = [
 
 @pytest.mark.parametrize(("text", "secret"), SECRETS)
 def test_secrets_are_proposed_whole(text, secret):
-    assert pii._SIGNS.search(text.encode())
+    assert pii.may_have(text)
     assert proposed(text, "secret") == [secret]
 
 
 @pytest.mark.parametrize("address", ["2001:db8::8a2e:370:7334", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::", "::ffff:192.168.1.10", "abcd:ef::ab"])
 def test_ipv6_is_proposed_whole(address):
-    assert pii._SIGNS.search(address.encode())
+    assert pii.may_have(address)
     assert proposed(f"from {address} to", "ip") == [address]
 
 
