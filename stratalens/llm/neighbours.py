@@ -1,6 +1,6 @@
 """Nearest neighbours by randomly rotated one-bit codes with error bounds and reranking (operator 1).
 
-A vector less its block's mean is turned by a random rotation and kept as one bit for each dimension, packed into words. A query, turned likewise and rounded to QUERY_BITS bits, meets the codes by bit counts; from these comes an unbiased estimate of each distance, and from the code's own angle to its vector a bound on the estimate's error. Vectors whose bound lets them be among the K nearest are compared exactly, so distances are exact and only neighbours beyond the bound (EPSILON deviations) are lost. Every pair of blocks is visited: no cluster is left out, and the time grows with the square of the rows (an eighth of a byte a dimension each).
+A vector less its block's mean is turned by a random rotation and kept as one bit for each dimension, packed into words. The inner product of a query, turned likewise, with a code, over the cosine of the code and its vector, is an unbiased estimate of the two vectors' own; from it comes one of their distance, and from the code's own angle to its vector a bound on the estimate's error. Vectors whose bound lets them be among the K nearest are compared exactly, so distances are exact and only neighbours beyond the bound (EPSILON deviations) are lost. Every pair of blocks is visited: no cluster is left out, and the time grows with the square of the rows (an eighth of a byte a dimension each).
 
 Defined cases: every row with an embedding is a query and may be a neighbour of every other row of as many dimensions; rows with one vec_id are vectors of their own; rows with a null vec_id, a null or empty embedding or elements that are null, NaN or infinite are near nothing; equal distances go by neighbour_id; fewer than K others give fewer rows.
 """
@@ -8,6 +8,7 @@ Defined cases: every row with an embedding is a query and may be a neighbour of
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 
 from stratalens.llm import common
 
-K, EPSILON, QUERY_BITS, BLOCK, SEED = 10, 2.5, 4, 16384, 1
+K, EPSILON, BLOCK, SEED = 10, 2.5, 16384, 1
 _rotations: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -30,45 +31,34 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     return _rotations[dim, seed]
 
 
-def packed(bits: np.ndarray) -> np.ndarray:
-    """Rows of bits as words of 64, the last one filled up with zeros."""
-    b = np.packbits(bits, axis=1)
-    return np.ascontiguousarray(np.pad(b, ((0, 0), (0, -b.shape[1] % 8)))).view(np.uint64)
-
-
 class Codes:
-    """The one-bit codes of a block's vectors."""
+    """The one-bit codes of a block's vectors: packed bits and, for each vector, its length and its cosine with its code."""
 
     def __init__(self, x: np.ndarray, seed: int = SEED):
         self.dim, self.mean, self.turn = x.shape[1], x.mean(0), rotation(x.shape[1], seed)
         r = (x - self.mean) @ self.turn
-        self.norm = np.sqrt((r * r).sum(1))
-        bits = r > 0
-        self.words = packed(bits).T.copy()
-        self.ones = bits.sum(1).astype(float)
-        # the cosine of each vector and its code
-        self.cos = np.where(self.norm > 0, np.abs(r).sum(1) / np.where(self.norm > 0, self.norm, 1) / math.sqrt(self.dim), 1.0)
-        self.error = np.sqrt(np.maximum(0, 1 - self.cos**2)) / self.cos / math.sqrt(max(1, self.dim - 1))
-
-    def distances(self, q: np.ndarray, bits: int = QUERY_BITS):
-        """For each query (estimates of its squared distances to the block's vectors, one deviation of their errors)."""
-        r = (q - self.mean) @ self.turn
         norm = np.sqrt((r * r).sum(1))
-        unit = r / np.where(norm > 0, norm, 1)[:, None]
-        low = unit.min(1)
-        step = (unit.max(1) - low) / ((1 << bits) - 1)
-        u = np.rint((unit - low[:, None]) / np.where(step > 0, step, 1)[:, None]).astype(np.int64)
-        rest = np.sqrt(((unit - low[:, None] - step[:, None] * u) ** 2).sum(1)) / math.sqrt(self.dim)
-        planes = np.stack([packed((u >> j & 1).astype(bool)) for j in range(bits)], axis=1)
-        root = math.sqrt(self.dim)
-        for i in range(len(q)):
-            met = np.zeros(len(self.ones), np.int64 if self.dim > 1000 else np.uint16)
-            for j in range(bits):
-                for w, word in enumerate(self.words):
-                    met += np.bitwise_count(word & planes[i, j, w]).astype(met.dtype) << j
-            product = (2 * step[i] * met + 2 * low[i] * self.ones - (step[i] * u[i].sum() + self.dim * low[i])) / root
-            scale = 2 * norm[i] * self.norm
-            yield self.norm**2 + norm[i] ** 2 - scale * product / self.cos, scale * np.hypot(self.error, rest[i] / self.cos)
+        self.bits = np.packbits(r > 0, axis=1)
+        cos = np.where(norm > 0, np.abs(r).sum(1) / np.where(norm > 0, norm, 1) / math.sqrt(self.dim), 1.0)
+        self.norm, self.cos = norm.astype(np.float32), cos.astype(np.float32)
+        self.error = (np.sqrt(np.maximum(0, 1 - cos**2)) / cos / math.sqrt(max(1, self.dim - 1))).astype(np.float32)
+
+    def signs(self) -> np.ndarray:
+        """The codes unpacked, a column for each vector, over the root of the dimension."""
+        out = np.unpackbits(self.bits, axis=1, count=self.dim).T.astype(np.float32)
+        out *= 2 / math.sqrt(self.dim)
+        out -= 1 / math.sqrt(self.dim)
+        return out
+
+    def distances(self, q: np.ndarray, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """By `rows` queries (estimates of their squared distances to the block's vectors, one deviation of their errors). A query's inner products with all codes are one product of matrices."""
+        signs = self.signs()
+        for i in range(0, len(q), rows):
+            r = (q[i : i + rows] - self.mean) @ self.turn
+            norm = np.sqrt((r * r).sum(1)).astype(np.float32)
+            product = r.astype(np.float32) @ signs
+            product *= 2 * self.norm / self.cos
+            yield self.norm**2 + (norm**2)[:, None] - product, 2 * norm[:, None] * (self.norm * self.error)
 
 
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -80,26 +70,34 @@ def nearest(q: np.ndarray, q_points: np.ndarray, x: np.ndarray, points: np.ndarr
     """For each query (positions in x of its k nearest but itself, squared distances); ids and points, in this order, decide between equal distances."""
     where = {int(p): i for i, p in enumerate(points)}
     lengths = np.einsum("ij,ij->i", x, x)
-    for at, (estimate, deviation) in enumerate(Codes(x, seed).distances(q)):
-        least = estimate - epsilon * deviation
-        if (own := where.get(int(q_points[at]))) is not None:
-            estimate[own] = least[own] = np.inf
-        n = min(k, len(x) - (own is not None))
-        if not n:
-            yield np.empty(0, np.int64), np.empty(0)
-            continue
-        m = min(8 * k, len(x) - (own is not None))
-        first = np.argpartition(estimate, m - 1)[:m]
-        open_ = least <= np.partition(exact(x[first], q[at]), n - 1)[n - 1]
-        open_[first] = True
-        found = np.flatnonzero(open_)
-        # by products first; what these, less exact by rounding, leave near is compared by differences
-        length = lengths[found] + q[at] @ q[at]
-        d = length - 2 * (x[found] @ q[at])
-        found = found[d <= np.partition(d, n - 1)[n - 1] + 1e-9 * length.max()]
-        d = exact(x[found], q[at])
-        near = np.lexsort((points[found], ids[found], d))[:n]
-        yield found[near], d[near]
+    at = -1
+    for estimates, deviations in Codes(x, seed).distances(q):
+        some = min(8 * k + 1, len(x))
+        firsts = np.argpartition(estimates, some - 1, axis=1)[:, :some]
+        deviations *= -epsilon
+        deviations += estimates
+        for first, least in zip(firsts, deviations, strict=True):
+            at += 1
+            if (own := where.get(int(q_points[at]))) is not None:
+                least[own] = np.inf
+                first = first[first != own]
+            n = min(k, len(x) - (own is not None))
+            if not n:
+                yield np.empty(0, np.int64), np.empty(0)
+                continue
+            # of the vectors that look nearest, exact distances give the bound that the others' least distances are held against
+            length = lengths[first] + q[at] @ q[at]
+            bound = np.partition(length - 2 * (x[first] @ q[at]), n - 1)[n - 1] + 1e-6 * length.max()
+            open_ = least <= bound
+            open_[first] = True
+            found = np.flatnonzero(open_)
+            # by products first; what these, less exact by rounding, leave near is compared by differences
+            length = lengths[found] + q[at] @ q[at]
+            d = length - 2 * (x[found] @ q[at])
+            found = found[d <= np.partition(d, n - 1)[n - 1] + 1e-9 * length.max()]
+            d = exact(x[found], q[at])
+            near = np.lexsort((points[found], ids[found], d))[:n]
+            yield found[near], d[near]
 
 
 def neighbours(vectors: DataFrame, k: int = K, epsilon: float = EPSILON, block: int = BLOCK, seed: int = SEED) -> DataFrame:
