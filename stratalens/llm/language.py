@@ -2,7 +2,7 @@
 
 The script of a word's characters, by ranges of code points, narrows the candidates: the languages that the labelled documents write in that script, or where they have none the ones in SCRIPTS. A word's score for a candidate is the log probability of its byte trigrams (ASCII lower case, a space at either end) in the language's hashed multinomial, counted over all documents by their label `lang`. Viterbi over a document's words, with a penalty for each change of language, labels them; runs of one label are the spans.
 
-Words are runs of bytes above 32; a word without a letter has no evidence and stays with its neighbours. Ties go to staying, then to the language that comes first by name.
+Words are runs of bytes above 32, also where scripts change within one, which then has the script of its first letter beyond Latin; a word without a letter has no evidence and stays with its neighbours. Ties go to staying, then to the language that comes first by name.
 
 Defined cases: a document with no word (null or empty text) has one span of no words and a null language; one without any letter is "und"; with no labelled document the scripts' own languages remain, and words of other scripts are "und"; null labels train nothing; repeated rows are labelled alike; other columns don't matter. Time grows with the words, however long a document is.
 """
@@ -21,8 +21,8 @@ from stratalens.llm import common, textcols
 BUCKETS, PENALTY, SHARE = 1 << 14, 14.0, 0.05
 #: First code point of a range, its script.
 RANGES = [(0x0, ""), (0x41, "Latin"), (0x5B, ""), (0x61, "Latin"), (0x7B, ""), (0xC0, "Latin"), (0x250, ""), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x700, ""), (0x750, "Arabic"), (0x780, ""), (0x900, "Devanagari"), (0x980, "Bengali"), (0xA00, ""), (0xB80, "Tamil"), (0xC00, "Telugu"), (0xC80, ""), (0xE00, "Thai"), (0xE80, ""), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x1380, ""), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, ""), (0x3040, "Kana"), (0x3100, ""), (0x3400, "Han"), (0x4DC0, ""), (0x4E00, "Han"), (0xA000, ""), (0xAC00, "Hangul"), (0xD7B0, ""), (0xF900, "Han"), (0xFB00, ""), (0x20000, "Han"), (0x30000, "")]
-#: Languages of a script that no labelled document is written in.
-SCRIPTS = {"Greek": ["el"], "Cyrillic": ["ru"], "Armenian": ["hy"], "Hebrew": ["he"], "Arabic": ["ar"], "Devanagari": ["hi"], "Bengali": ["bn"], "Tamil": ["ta"], "Telugu": ["te"], "Thai": ["th"], "Georgian": ["ka"], "Hangul": ["ko"], "Ethiopic": ["am"], "Kana": ["ja"], "Han": ["ja", "zh"]}
+#: Languages of a script that no labelled document is written in; scripts of several languages, as Han, aren't here, so that words in them are "und" then.
+SCRIPTS = {"Greek": ["el"], "Cyrillic": ["ru"], "Armenian": ["hy"], "Hebrew": ["he"], "Arabic": ["ar"], "Devanagari": ["hi"], "Bengali": ["bn"], "Tamil": ["ta"], "Telugu": ["te"], "Thai": ["th"], "Georgian": ["ka"], "Hangul": ["ko"], "Ethiopic": ["am"], "Kana": ["ja"]}
 NAMES = ["", *sorted({s for _, s in RANGES if s})]
 _STARTS = np.array([c for c, _ in RANGES])
 _CODES = np.array([NAMES.index(s) for _, s in RANGES], np.int8)
