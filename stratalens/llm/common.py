@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Rows (of a few numbers each) up to which a table is broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Estimated bytes up to which a table is broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset, as in tests, a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset on one machine, as in tests, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="stratalens-")
         atexit.register(shutil.rmtree, folder[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -37,9 +40,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_small(big: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
-    """A join in which small is broadcast if it has at most BROADCAST_ROWS rows, counted first, and shuffled otherwise."""
-    return big.join(F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small, on, how)
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that `stored` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if re.fullmatch(r".*/stratalens/\w+-[0-9a-f]{32}", path):
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows, unless the session asks for other ones: a batch holds whole texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def with_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """A join in which small is broadcast if its rows, counted first, have at most BROADCAST_BYTES by estimate, and shuffled otherwise."""
+    texts = [f.name for f in small.schema if isinstance(f.dataType, T.StringType)]
+    length = sum((F.coalesce(F.length(c), F.lit(0)) for c in texts), F.lit(24 * len(small.columns)))
+    return big.join(F.broadcast(small) if (small.agg(F.sum(length)).first()[0] or 0) <= BROADCAST_BYTES else small, on, how)
 
 
 def in_order(df: DataFrame, by: list[str], name: str, add: dict[str, Column] | None = None) -> DataFrame:
@@ -71,9 +91,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         low = Window.partitionBy("a")
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.withColumn("m", F.least(F.min("b").over(low), F.col("a"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        old = e
         ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         e = stored(large.withColumn("m", F.min("b").over(low)).select(F.explode(ends).alias("x")).select("x.*").where("a <> b").distinct(), name)
         was, now = now, size(e)
+        dropped(old)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 

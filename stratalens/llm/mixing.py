@@ -18,6 +18,8 @@ from stratalens.llm import common
 SHARDS, SHARD_SEED = 64, 5
 #: Tokens (words) of a block, exponent of the sources' token counts that gives the default target weights, seed of the shuffle.
 BLOCK_TOKENS, TEMPER, MIX_SEED = 4096, 0.9, 9
+#: A source whose weight would make the schedule longer than this many times all blocks is raised to the weight that doesn't.
+MAX_LENGTH = 4
 GOLDEN = 0.6180339887498949
 _CELLS = 4096
 
@@ -43,10 +45,10 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, seed: int = SHARD_SEED) -
     return d.select("doc_id", "source", F.col("rank").alias("position"), F.floor(F.col("rank") * shards / F.lit(max(1, total))).cast("int").alias("shard"))
 
 
-def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = MIX_SEED, temper: float = TEMPER) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = MIX_SEED, temper: float = TEMPER, max_length: float = MAX_LENGTH) -> DataFrame:
     """(slot, epoch, doc_id, source, block, n_tokens): which documents each slot of the mixture has.
 
-    The documents of a source, shuffled, are cut into blocks of block_tokens tokens (a document belongs to the block in which it starts; a block that lies within one long document is empty). Slot i takes the point frac(1/2 + i * golden ratio) through the cumulative target weights to its source; the slot's rank r among that source's slots names block r mod blocks of epoch r div blocks. The schedule ends with the slot that gives the last source its last block: every document comes at least once, sources above their natural share come again, in further epochs, and every stretch of slots has the target weights to a few blocks.
+    The documents of a source, shuffled, are cut into blocks of block_tokens tokens (a document belongs to the block in which it starts; a block that lies within one long document is empty). Slot i takes the point frac(1/2 + i * golden ratio) through the cumulative target weights to its source; the slot's rank r among that source's slots names block r mod blocks of epoch r div blocks. The schedule ends with the slot that gives the last source its last block: every document comes at least once, sources above their natural share come again, in further epochs, and every stretch of slots has the target weights to a few blocks. So that a tiny source can't make the others come again and again, a source gets at least the weight by which its blocks fit into max_length times all blocks.
 
     weights: by source; sources without a weight, or with none above 0, are left out. By default the weights follow (tokens + 1) ** temper.
     """
@@ -62,8 +64,9 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
         sizes = sizes.withColumn("w", F.pow(F.col("tokens") + F.lit(1.0), F.lit(temper)))
     else:
         given = [("-" if k is None else f"={k}", float(v)) for k, v in weights.items() if v > 0]
-        sizes = sizes.join(F.broadcast(docs.sparkSession.createDataFrame(given, "part string, w double")), "part")
+        sizes = common.with_small(sizes, docs.sparkSession.createDataFrame(given, "part string, w double"), "part", "inner")
     every, upto = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("part")  # a row for each source
+    sizes = sizes.withColumn("w", F.greatest(F.col("w") / F.sum("w").over(every), F.col("blocks") / (F.sum("blocks").over(every) * F.lit(float(max_length)))))
     sizes = sizes.withColumn("w", F.col("w") / F.sum("w").over(every)).withColumn("hi", F.sum("w").over(upto)).withColumn("lo", F.coalesce(F.lag("hi").over(upto), F.lit(0.0)))
     sizes = common.stored(sizes.withColumn("hi", F.when(F.lead("part").over(upto).isNull(), 2.0).otherwise(F.col("hi"))), "sizes")
     need = sizes.agg(F.max(F.col("blocks") / F.col("w")), F.min("w")).first()
@@ -103,7 +106,8 @@ SELECT doc_id, source, position, CAST(floor(position * {SHARDS} / n) AS INTEGER)
 SCHEDULE_SQL = f"""WITH t AS (SELECT doc_id, min(coalesce('=' || source, '-')) AS part, CAST(sum(coalesce(len(regexp_extract_all(text, '[^\\x00-\\x20]+')), 0)) AS BIGINT) AS n_tokens FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
 b AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY part ORDER BY md5('{MIX_SEED}:' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {BLOCK_TOKENS} AS block FROM t),
 s AS (SELECT part, max(block) + 1 AS blocks, pow(sum(n_tokens) + 1.0::DOUBLE, {TEMPER}::DOUBLE) AS w FROM b GROUP BY part),
-c AS (SELECT part, blocks, w / sum(w) OVER () AS w FROM s),
+g AS (SELECT part, blocks, greatest(w / sum(w) OVER (), blocks / (sum(blocks) OVER () * {MAX_LENGTH}.0::DOUBLE)) AS w FROM s),
+c AS (SELECT part, blocks, w / sum(w) OVER () AS w FROM g),
 k AS (SELECT *, sum(w) OVER (ORDER BY part) AS hi FROM c),
 l AS (SELECT part, blocks, w, coalesce(lag(hi) OVER (ORDER BY part), 0) AS lo, CASE WHEN lead(part) OVER (ORDER BY part) IS NULL THEN 2 ELSE hi END AS hi FROM k),
 m AS (SELECT CAST(ceil(max((blocks + 200) / w)) AS BIGINT) AS n FROM l),

@@ -26,14 +26,27 @@ THRESHOLD, PSEUDO_LENGTH = -0.3, 40
 SHARE, SEED = 0.8, 6
 
 
+PRIME = 1048573
+_powers: dict[int, np.ndarray] = {}
+
+
 def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Bytes as digits to the base 257, modulo a prime below 2 ** 20."""
-    h, at, live = np.zeros(len(starts), np.int64), starts.copy(), np.arange(len(starts))
-    while len(live):
-        h[live] = (h[live] * 257 + buf[at[live]]) % 1048573
-        at[live] += 1
-        live = live[at[live] < ends[live]]
-    return h
+    n = len(buf)
+    power, inverse = (modular_powers(x, n + 1) for x in (257, pow(257, -1, PRIME)))
+    sums = np.zeros(n + 1, np.int64)
+    np.cumsum(buf * inverse[:n] % PRIME, out=sums[1:])
+    return (sums[ends] - sums[starts]) % PRIME * power[ends - 1] % PRIME if len(starts) else np.zeros(0, np.int64)
+
+
+def modular_powers(base: int, n: int) -> np.ndarray:
+    """base ** i modulo PRIME for i below n, or more of them."""
+    got = _powers.get(base, np.ones(1, np.int64))
+    while len(got) < n:
+        got = np.concatenate([got, got * pow(base, len(got), PRIME) % PRIME])
+    if len(got) <= 1 << 20:
+        _powers[base] = got
+    return got
 
 
 def grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U = np.uint64
 _BASE, _NGRAM = U(0x9E3779B97F4A7C55), U(0xD6E8FEB86659FD93)
 SPACED = np.arange(256) > 32
@@ -40,7 +40,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
             a = np.cumprod(np.concatenate([[U(1)], np.full(size, base, U)]))
             b = np.cumprod(np.concatenate([[U(1)], np.full(size, U(pow(int(base), -1, 2**64)), U)]))
         got = (a, b)
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _powers[int(base)] = got
     return got
 
