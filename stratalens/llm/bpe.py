@@ -50,8 +50,8 @@ def array_literal(spark: SparkSession, values: pa.Array) -> Column:
 
 
 def map_literal(spark: SparkSession, keys: pa.Array, values: pa.Array) -> Callable[[Column], Column]:
-    """A function from a column of the keys' type, text or binary, to its value, or null: maps of about one key each, by the key's hash."""
-    n = 1 << max(4, len(keys).bit_length())
+    """A function from a column of the keys' type, text or binary, to its value, or null: maps of two to four keys, by the key's hash."""
+    n = 1 << max(4, len(keys).bit_length() - 2)
     at = spark.createDataFrame(pa.table({"k": keys})).select(F.pmod(F.hash("k"), F.lit(n)).alias("at")).toArrow().column(0).to_numpy() if len(keys) else np.empty(0, np.int64)
     order = np.argsort(at, kind="stable")
     bounds = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n))]).astype(np.int32)
@@ -192,7 +192,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, frequent: int = FREQUE
     at_long = F.when(F.exists("words", is_long), F.transform("words", lambda w: F.when(is_long(w), w))).otherwise(F.array().cast("array<string>"))
     split = split.withColumn("long", merged(at_long))
     ids_of = lambda w: F.coalesce(look_up(w), folded(w.cast("binary")))
-    tokens = F.when(F.size("long") > 0, F.zip_with("words", "long", lambda w, x: F.coalesce(x, ids_of(w)))).otherwise(F.transform("words", ids_of))
+    tokens = F.zip_with("words", "long", lambda w, x: F.coalesce(x, ids_of(w)))  # the shorter array is filled up with nulls
     return split.select("doc_id", "text", F.when(F.col("text").isNotNull(), F.flatten(tokens)).alias("tokens"))
 
 
