@@ -1 +1,5 @@
+"""Column expressions that several operators share."""
 
+from stratalens.functions.text import kind_of, text_form, typed_literal
+
+__all__ = ["kind_of", "text_form", "typed_literal"]

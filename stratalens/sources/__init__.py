@@ -1 +1 @@
-
+"""Reading and writing files: detection, ingest, cache, exports."""
