@@ -1,5 +1,5 @@
 """Column expressions that several operators share."""
 
-from stratalens.functions.text import kind_of, text_form, typed_literal
+from stratalens.functions.text import can_contain, kind_of, text_form, typed_literal
 
-__all__ = ["kind_of", "text_form", "typed_literal"]
+__all__ = ["can_contain", "kind_of", "text_form", "typed_literal"]

@@ -26,20 +26,24 @@ def kind_of(dtype: T.DataType) -> str:
 
 
 def real_text(c: Column) -> Column:
-    """The shortest digits of a floating-point number, plain from 1e-4 up to 1e16 and with a two-digit exponent elsewhere."""
+    """The shortest digits of a floating-point number, plain from 1e-4 up to 1e16 and with an exponent of two digits or more elsewhere. Decimals are made of these same digits, so they only move the point."""
     s = c.cast("string")
+    plain = F.rtrim(c.cast("decimal(38,21)").cast("string"), F.lit("0"))
     e = F.split_part(s, F.lit("E"), F.lit(2)).cast("int")
-    mantissa = F.split_part(s, F.lit("E"), F.lit(1))
-    sign = F.when(s.startswith("-"), "-").otherwise("")
-    digits = F.regexp_replace(F.regexp_replace(mantissa, "[-.]", ""), "(?<=.)0+$", "")
-    tail = F.substring(digits, 2, 40)
-    scientific = F.concat(sign, F.substring(digits, 1, 1), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
-    whole = F.concat(digits, F.repeat(F.lit("0"), F.greatest(e + 1 - F.length(digits), F.lit(0))))
-    after = F.substr(whole, e + 2, F.lit(40))
-    large = F.concat(sign, F.substr(whole, F.lit(1), e + 1), F.lit("."), F.when(after == "", "0").otherwise(after))
-    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), F.greatest(-e - 1, F.lit(0))), digits)
-    plain = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(s)
-    return F.when(~s.contains("E"), plain).when(e.between(0, 15), large).when(e.between(-4, -1), small).otherwise(scientific)
+    digits = F.regexp_replace(F.split_part(s, F.lit("E"), F.lit(1)), "\\.0$", "")
+    far = F.concat(digits, F.when(e < 0, "e-").otherwise("e+"), F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
+    near = F.when(F.endswith(plain, F.lit(".")), F.concat(plain, F.lit("0"))).otherwise(plain)
+    return F.when(F.contains(s, F.lit("E")), F.when((F.abs(c) >= 1e-4) & (F.abs(c) < 1e16), near).otherwise(far)).when(F.isnan(c) | F.startswith(s, F.lit("Inf")) | F.startswith(s, F.lit("-Inf")), F.when(F.isnan(c), "nan").when(c > 0, "inf").otherwise("-inf")).otherwise(s)
+
+
+#: The characters that the text of a value of these types can have.
+_ALPHABETS = {T.ByteType: "-0123456789", T.ShortType: "-0123456789", T.IntegerType: "-0123456789", T.LongType: "-0123456789", T.DoubleType: "-+.0123456789einfa", T.FloatType: "-+.0123456789einfa", T.DecimalType: "-.0123456789eE+", T.BooleanType: "truefals", T.DateType: "-+0123456789", T.TimestampNTZType: "-+:. 0123456789", T.TimestampType: "-+:. 0123456789"}
+
+
+def can_contain(dtype: T.DataType, text: str) -> bool:
+    """Whether any value's text can have this one in it, in any case; where it can't, a search needn't read the column."""
+    alphabet = _ALPHABETS.get(type(dtype))
+    return alphabet is None or set(text.lower()) <= set(alphabet.lower())
 
 
 def text_form(c: Column, dtype: T.DataType) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalens.functions import kind_of, text_form, typed_literal
+from stratalens.functions import can_contain, kind_of, text_form, typed_literal
 
 OPS = ("eq", "ne", "lt", "lte", "gt", "gte", "between", "contains", "ncontains", "startswith", "endswith", "in", "regex", "isnull", "notnull")
 _COMPARE = {"lt": operator.lt, "lte": operator.le, "gt": operator.gt, "gte": operator.ge}
@@ -121,6 +121,10 @@ def search_column(s: Search | None, fields: dict[str, T.DataType]) -> Column | N
     names = [n for n in fields if n in s.columns] if s.columns else [n for n, t in fields.items() if s.include_nested or kind_of(t) != "nested"]
     if not names:
         return None
+    if s.mode != "regex":
+        names = [n for n in names if can_contain(fields[n], s.query)]
+        if not names:
+            return F.lit(False)
     test = {"exact": same_text, "regex": matches}.get(s.mode, contains)
     return reduce(operator.or_, (test(text_form(quoted(n), fields[n]), s.query, s.case_sensitive) for n in names))
 

@@ -58,7 +58,7 @@ class Workbench:
         """Stops the jobs of a tag and of the tags that begin with it."""
         for t in list(_Tagged.active):
             if t.startswith(tag):
-                self.spark.interruptTag(t)
+                self.spark.sparkContext.cancelJobsWithTag(t)
 
     # -- files
     def detect(self, path: str) -> dict:
@@ -196,10 +196,10 @@ class _Tagged:
         self.spark, self.tag = spark, tag.replace(",", "_")
 
     def __enter__(self) -> _Tagged:
-        self.spark.addTag(self.tag)
+        self.spark.sparkContext.addJobTag(self.tag)
         self.active.add(self.tag)
         return self
 
     def __exit__(self, *_: object) -> None:
-        self.spark.removeTag(self.tag)
+        self.spark.sparkContext.removeJobTag(self.tag)
         self.active.discard(self.tag)

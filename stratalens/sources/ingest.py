@@ -20,7 +20,6 @@ from stratalens.sources.detect import Detected, detect, head_of, looks_like_head
 
 RESERVED = {ROW, "__vrn", "__part", "__place"}
 FALLBACK = [",", "\t", "|", ";"]
-SAMPLE_ROWS = 200_000
 MAX_PREVIEW, PREVIEW_CHARS = 200, 400
 
 
@@ -96,12 +95,12 @@ def _sample(path: str, encoding: str, skip: int) -> list[str]:
 _SPARK_ENCODING = {"latin-1": "ISO-8859-1", "utf-16be": "UTF-16BE", "utf-16": "UTF-16"}
 
 
-def read(spark: SparkSession, path: str, plan: Plan, o: Options) -> DataFrame:
-    """The file as the plan reads it; raises ValueError where the plan doesn't fit. Names and width come from the file's head, types from Spark's inference over SAMPLE_ROWS rows at least, and nothing is scanned before an action but for that."""
+def read(spark: SparkSession, path: str, plan: Plan, o: Options) -> Texts:
+    """The file's texts as the plan reads them; raises ValueError where the plan doesn't fit. Names, width and the types to look for come from the file's head; nothing is scanned."""
     encoding = plan.encoding or o.encoding
     if plan.strategy == "raw-lines":
         lines = spark.read.option("encoding", _SPARK_ENCODING.get(encoding, encoding)).text(path)
-        return lines.withColumnRenamed("value", "line")
+        return Texts(lines.withColumnRenamed("value", "line"), {})
     lines = _sample(path, encoding, o.skip_rows)
     rows = [split_line(x, plan.delimiter, plan.quote is not None) for x in lines]
     if plan.encoding is None and encoding == "utf-8" and any("�" in x for x in lines):
@@ -131,8 +130,9 @@ def read(spark: SparkSession, path: str, plan: Plan, o: Options) -> DataFrame:
         kept = whole.where(~F.col("value").isin(*dropped) & (F.trim("value") != ""))
         source = kept.select(F.from_csv("value", ", ".join(f"`{n}` STRING" for n in names), options).alias("r")).select("r.*")
     if plan.all_text or o.all_varchar:
-        return source
-    return typed(source, o.column_types)
+        return Texts(source, {})
+    body = rows[1:] if header else rows
+    return Texts(source, {n: candidates([r[i] for r in body if i < len(r)]) for i, n in enumerate(names)})
 
 
 def _head_lines(path: str, encoding: str, n: int) -> list[str]:
@@ -143,17 +143,41 @@ def _head_lines(path: str, encoding: str, n: int) -> list[str]:
 _KINDS = [("bigint", r"[+-]?\d{1,18}"), ("double", r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"), ("boolean", r"(?i:true|false)"), ("date", r"\d{4}-\d{2}-\d{2}"), ("timestamp_ntz", r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?")]
 
 
-def typed(texts: DataFrame, given: dict[str, str]) -> DataFrame:
-    """Columns of texts in the narrowest type that all their values have, one aggregation over the whole table: a type that a sample promises can't fail on a later row. Numbers of 18 digits at most are whole numbers."""
-    columns = [c for c in texts.columns if c not in given]
-    parts: list[Column] = []
-    for i, c in enumerate(columns):
+def candidates(cells: list[str]) -> list[tuple[str, str]]:
+    """The types that a sample of a column's values leaves, which only the whole column can confirm."""
+    filled = [c.strip() for c in cells if c.strip()]
+    return [(k, p) for k, p in _KINDS if all(re.fullmatch(p, c) for c in filled)]
+
+
+@dataclass(frozen=True)
+class Texts:
+    """A table of texts, the types that each column may have, and whether these are wanted."""
+
+    table: DataFrame
+    may: dict[str, list[tuple[str, str]]]
+
+
+def counted(t: Texts, given: dict[str, str]) -> tuple[DataFrame, list[int]]:
+    """(columns in the narrowest type that all their values have, rows of each partition): one aggregation over the whole table, so that no later row can fail a type that a sample promised. Numbers of 18 digits at most are whole numbers."""
+    parts: list[Column] = [F.count(F.lit(1)).alias("n")]
+    checks = [(c, k, p) for c, kinds in t.may.items() if c not in given for k, p in kinds]
+    for i, (c, k, p) in enumerate(checks):
         v = F.trim(F.col(f"`{c}`"))
-        fits = [F.coalesce(F.bool_and(v.rlike(f"^{p}$") & F.expr(f"try_cast(trim(`{c}`) as {k}) is not null")), F.lit(False)) for k, p in _KINDS]
-        parts.append(F.array(*fits).alias(f"k{i}"))
-    fit = texts.agg(*parts).first() if parts else []
-    kinds = {c: next((k for (k, _), ok in zip(_KINDS, fit[i], strict=True) if ok), "string") for i, c in enumerate(columns)} | given
-    return texts.select(*(F.col(f"`{c}`") if kinds[c] == "string" else F.expr(f"try_cast(trim(`{c}`) as {kinds[c]})").alias(c) for c in texts.columns))
+        cast = F.expr(f"try_cast(trim(`{c}`) as {k}) is not null")
+        # whole numbers are what the cast takes but for their length
+        fits = cast & (F.length(v) < 19) if k == "bigint" else cast & v.rlike(f"^{p}$")
+        parts += [F.bool_and(F.when(v.isNotNull(), fits)).alias(f"f{i}")]
+    got = sorted(t.table.groupBy(F.spark_partition_id().alias("part")).agg(*parts).collect())  # a row for each partition
+    kinds = dict(given)
+    for i, (c, k, _) in enumerate(checks):
+        some = [r[f"f{i}"] for r in got if r[f"f{i}"] is not None]
+        if c not in kinds and some and all(some):
+            kinds[c] = k
+    sizes = [0] * (got[-1].part + 1 if got else 0)
+    for r in got:
+        sizes[r.part] = r.n
+    df = t.table.select(*(F.expr(f"try_cast(trim(`{c}`) as {kinds[c]})").alias(c) if kinds.get(c, "string") != "string" else F.col(f"`{c}`") for c in t.table.columns))
+    return df, sizes
 
 
 def safe_names(names: list[str]) -> tuple[list[str], dict[str, str]]:
@@ -205,10 +229,16 @@ class Manifest:
 
 def choose(spark: SparkSession, path: str, o: Options, found: Detected) -> tuple[DataFrame, Plan]:
     """The first reading that works and is wide enough."""
+    df, _, plan = chosen(spark, path, o, found)
+    return df, plan
+
+
+def chosen(spark: SparkSession, path: str, o: Options, found: Detected) -> tuple[DataFrame, list[int] | None, Plan]:
+    """(table, rows of each of its partitions where they are counted, plan)."""
     if found.format == "unsupported":
         raise ValueError("tables only: delimited text and Parquet; open JSON and XML as documents")
     if found.format == "parquet":
-        return spark.read.parquet(path), Plan("parquet-passthrough")
+        return spark.read.parquet(path), None, Plan("parquet-passthrough")
     o.skip_rows = o.skip_rows or found.skip_rows
     o.delimiter = o.delimiter or found.delimiter
     if o.encoding == "utf-8":
@@ -216,13 +246,13 @@ def choose(spark: SparkSession, path: str, o: Options, found: Detected) -> tuple
     failed: list[str] = []
     for p in plans(o, found.candidates, found.suggest_quote):
         try:
-            df = read(spark, path, p, o)
-            names = [n for n in df.columns if not re.fullmatch(r"column\d+", n)]
+            texts = read(spark, path, p, o)
+            names = [n for n in texts.table.columns if not re.fullmatch(r"column\d+", n)]
             if not names and p.strategy == "csv-auto" and p.header is None and not o.header_explicit:
-                first = df.limit(1).collect()
+                first = texts.table.limit(1).collect()
                 if first and looks_like_header(["" if v is None else str(v) for v in first[0]], None):
                     raise ValueError("the header was taken for data")
-            return df, p
+            return *counted(texts, o.column_types), p
         except (ValueError, PySparkException) as e:
             failed.append(f"{p.strategy}: {e}")
     raise ValueError("; ".join(failed))
@@ -236,27 +266,29 @@ def preview(spark: SparkSession, path: str, o: Options | None = None, limit: int
 
 
 def ingest(spark: SparkSession, path: str, folder: str, dataset: str, o: Options | None = None) -> Manifest:
-    """path as a Parquet table at folder/base with a manifest beside it, put in place by one renaming; rows keep the file's order and their numbers."""
+    """path as a Parquet table at folder/base with a manifest beside it, put in place by one renaming; rows keep the file's order and their numbers. The pass that settles the types counts the rows of each split, so the pass that writes knows where each split begins."""
     o = o or Options()
     found = detect(path)
-    df, plan = choose(spark, path, o, found)
+    df, sizes, plan = chosen(spark, path, o, found)
     df, renamed = projected(df, o.flatten)
     work = f"{folder}.{uuid.uuid4().hex}"
-    # splits of one file are read in order, so partition and place give the row's number
-    numbered = df.withColumn("__at", F.monotonically_increasing_id())
-    numbered.write.option("compression", "snappy").option("parquet.block.row.count.limit", 122_880).parquet(f"{work}/staged")
-    staged = spark.read.parquet(f"{work}/staged")
-    sizes = sorted((r[0], r[1]) for r in staged.groupBy(F.shiftright("__at", 33).alias("p")).agg(F.count(F.lit(1))).collect())
-    total = 0
-    offsets = []
-    for p, n in sizes:
-        offsets.append((p, total - (p << 33)))
-        total += n
-    at = spark.createDataFrame(offsets or [(0, 0)], "__p long, __offset long")
-    base = staged.withColumn("__p", F.shiftright("__at", 33)).join(F.broadcast(at), "__p").select(*(f"`{c}`" for c in df.columns), (F.col("__at") + F.col("__offset")).alias(ROW))
-    base = base.sortWithinPartitions(ROW) if o.keep_order else base
-    base.write.option("compression", "snappy").parquet(f"{work}/base")
-    shutil.rmtree(f"{work}/staged", ignore_errors=True)
+    if sizes is None:
+        base = scan(spark, path)
+        parts, _ = projected(base.withColumnRenamed(ROW, "row number"), o.flatten)
+        base = parts.withColumnRenamed("row number", ROW)
+        total = base.count()
+    else:
+        starts = [0]
+        for n in sizes:
+            starts.append(starts[-1] + n)
+        total = starts.pop()
+        start = F.get(F.lit(starts or [0]).cast("array<bigint>"), F.spark_partition_id())
+        base = df.select("*", (start + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias(ROW))
+    base.write.option("compression", "snappy").option("parquet.block.row.count.limit", 122_880).parquet(f"{work}/base")
+    written, last = spark.read.parquet(f"{work}/base").agg(F.count(F.lit(1)), F.max(ROW)).first()
+    if (written, last) != (total, total - 1 if total else None):
+        shutil.rmtree(work, ignore_errors=True)
+        raise RuntimeError(f"{path} changed while it was read")
     m = Manifest(dataset, path, found.size, found.mtime, plan.strategy, [{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema], total, renamed, [*found.warnings, *([plan.note] if plan.note else [])], asdict(o), plan.delimiter)
     with open(f"{work}/manifest.json", "w") as f:
         json.dump(asdict(m), f)
