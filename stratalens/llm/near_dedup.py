@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,33 +151,6 @@ def drop_near_copies(docs: DataFrame, **parameters) -> DataFrame:
     if twice.isEmpty():
         return left
     same = Window.partitionBy("doc_id", "text").orderBy(F.xxhash64(*[c for c in docs.columns if not isinstance(docs.schema[c].dataType, T.MapType)]))
-    again = common.with_small(left, twice, "doc_id", "left_semi").select(*docs.columns, F.row_number().over(same).alias("__copy"))
-    return common.with_small(left, twice, "doc_id", "left_anti").unionByName(again.where(F.col("__copy") == 1).drop("__copy"))
-
-
-def brute_groups(pdf: pd.DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> dict[int, int]:
-    """doc_id -> group_id by all pairs' exact Jaccard index over sets of word tuples; for tests."""
-    import re
-
-    sets = {}
-    for i, t in zip(pdf.doc_id, pdf.text, strict=True):
-        if t:
-            w = re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
-            sets[i] = {tuple(w[j : j + shingle]) for j in range(max(1, len(w) - shingle + 1))} if w else {t}
-    root = {i: i for i in sets}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    ids = sorted(sets)
-    for n, i in enumerate(ids):
-        for j in ids[:n]:
-            both = len(sets[i] & sets[j])
-            if both and both / (len(sets[i]) + len(sets[j]) - both) >= threshold:
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    found = {i: find(i) for i in ids}
-    count = pd.Series(found).value_counts()
-    return {i: g for i, g in found.items() if count[g] > 1}
+    nth = "__copy" + "_" * max(map(len, docs.columns))  # no column's name
+    again = common.with_small(left, twice, "doc_id", "left_semi").select(*docs.columns, F.row_number().over(same).alias(nth))
+    return common.with_small(left, twice, "doc_id", "left_anti").unionByName(again.where(F.col(nth) == 1).drop(nth))

@@ -11,7 +11,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,14 +125,3 @@ def neighbours(vectors: DataFrame, k: int = K, epsilon: float = EPSILON, block:
     best = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, "point long, vec_id long, neighbour long, neighbour_id long, squared double")
     rank = F.row_number().over(Window.partitionBy("point").orderBy("squared", "neighbour_id", "neighbour"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "neighbour_id", "rank", F.sqrt("squared").alias("distance"))
-
-
-def brute_neighbours(pdf: pd.DataFrame, k: int = K) -> dict[int, list[int]]:
-    """vec_id -> neighbour_ids by all pairs' distances; for tests."""
-    x, ids = np.stack(pdf.embedding.to_list()).astype(float), pdf.vec_id.to_numpy()
-    out = {}
-    for i in range(len(x)):
-        d = exact(x, x[i])
-        d[i] = np.inf
-        out[int(ids[i])] = [int(ids[j]) for j in np.lexsort((ids, d))[: min(k, len(x) - 1)]]
-    return out

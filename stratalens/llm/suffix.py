@@ -248,27 +248,3 @@ def repeats(docs: DataFrame, length: int = MIN_WORDS, anchor: int = ANCHOR, bloc
     out = out.withColumn("stretch", F.sum(F.when(F.col("start_word") <= F.col("reach"), 0).otherwise(1)).over(doc.rowsBetween(Window.unboundedPreceding, 0)))
     out = out.groupBy("doc_id", "part", "keep", "stretch").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"))
     return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "keep")
-
-
-def brute_repeats(rows: list[tuple[int, str | None]], length: int = MIN_WORDS) -> set[tuple[int, int, int, bool]]:
-    """The same by a dictionary of all runs; for tests."""
-    import re
-
-    split = {i: re.findall(rb"[^\x00-\x20]+", t.encode()) for i, t in rows if i is not None and t}
-    where: dict[tuple, set[int]] = {}
-    for i, w in split.items():
-        for k in range(len(w) - length + 1):
-            where.setdefault(tuple(w[k : k + length]), set()).add(i)
-    out = set()
-    for i, w in split.items():
-        for keep in (True, False):
-            spans: list[list[int]] = []
-            for k in range(len(w) - length + 1):
-                docs = where[tuple(w[k : k + length])]
-                if len(docs) > 1 and (min(docs) == i) == keep:
-                    if spans and k <= spans[-1][1]:
-                        spans[-1][1] = k + length
-                    else:
-                        spans.append([k, k + length])
-            out |= {(i, a, b, keep) for a, b in spans}
-    return out
