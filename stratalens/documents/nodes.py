@@ -156,6 +156,23 @@ def trigrams(nodes: DataFrame) -> DataFrame:
     return nodes.select("doc", "id", F.explode(F.array_distinct(grams)).alias("gram")).select("gram", "doc", "id")
 
 
+def write_index(nodes: DataFrame, path: str) -> None:
+    """The index stored by gram, so that a query reads the row groups of its own runs."""
+    trigrams(nodes).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(path)
+
+
+def drop_index(spark: SparkSession, path: str) -> bool:
+    """Deletes a stored index; whether there was one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def matches(nodes: DataFrame, query: str, scope: str = "all", limit: int = 5000) -> list[dict]:
+    """Path, name and value of the first matches, for `export.matches_as_text`."""
+    rows = found(nodes, query, scope).select("id", "path", "name", "value").orderBy("id").limit(min(int(limit), 5000)).collect()
+    return [{"path": r.path, "name": r.name, "value": r.value} for r in rows]
+
+
 def search_indexed(nodes: DataFrame, index: DataFrame, query: str, scope: str = "all") -> DataFrame:
     """The matches of a query of three characters or more by the index: nodes that have all its runs, then looked at."""
     q = query.lower()

@@ -233,8 +233,8 @@ def choose(spark: SparkSession, path: str, o: Options, found: Detected) -> tuple
     return df, plan
 
 
-def chosen(spark: SparkSession, path: str, o: Options, found: Detected) -> tuple[DataFrame, list[int] | None, Plan]:
-    """(table, rows of each of its partitions where they are counted, plan)."""
+def chosen(spark: SparkSession, path: str, o: Options, found: Detected, count: bool = True) -> tuple[DataFrame, list[int] | None, Plan]:
+    """(table, rows of each of its partitions where they are counted, plan); without counting, nothing but the file's head is read and all columns are texts."""
     if found.format == "unsupported":
         raise ValueError("tables only: delimited text and Parquet; open JSON and XML as documents")
     if found.format == "parquet":
@@ -252,7 +252,7 @@ def chosen(spark: SparkSession, path: str, o: Options, found: Detected) -> tuple
                 first = texts.table.limit(1).collect()
                 if first and looks_like_header(["" if v is None else str(v) for v in first[0]], None):
                     raise ValueError("the header was taken for data")
-            return *counted(texts, o.column_types), p
+            return (*counted(texts, o.column_types), p) if count else (texts.table, None, p)
         except (ValueError, PySparkException) as e:
             failed.append(f"{p.strategy}: {e}")
     raise ValueError("; ".join(failed))
@@ -260,7 +260,7 @@ def chosen(spark: SparkSession, path: str, o: Options, found: Detected) -> tuple
 
 def preview(spark: SparkSession, path: str, o: Options | None = None, limit: int = 50) -> DataFrame:
     """The first rows as texts of at most PREVIEW_CHARS characters, read as the whole file would be."""
-    df, _ = choose(spark, path, o or Options(), detect(path))
+    df, _, _ = chosen(spark, path, o or Options(), detect(path), count=False)
     df = df.limit(max(1, min(int(limit), MAX_PREVIEW)))
     return df.select(*(F.substring(F.col(f"`{c}`").cast("string"), 1, PREVIEW_CHARS).alias(c) for c in df.columns))
 

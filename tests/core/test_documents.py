@@ -42,6 +42,15 @@ def test_walk(spark):
     index = nodes.trigrams(t)
     for q in ("alice", "lic", "zz", "name", "va_lue"):
         assert {r.id for r in nodes.search_indexed(t, index, q).collect()} == {r.id for r in nodes.found(t, q).collect()}
+    assert nodes.matches(t, "alice") == [{"path": "$.users[0].name", "name": "name", "value": "alice"}]
+
+
+def test_stored_index(spark, tmp_path):
+    t = tree(spark, USERS)
+    path = str(tmp_path / "index")
+    nodes.write_index(t, path)
+    assert nodes.search_indexed(t, spark.read.parquet(path), "alice").count() == 1
+    assert nodes.drop_index(spark, path) and not nodes.drop_index(spark, path)
 
 
 def test_several_values(spark):
