@@ -49,9 +49,9 @@ def array_literal(spark: SparkSession, values: pa.Array) -> Column:
     return ClassicColumn(jvm.classic.ExpressionUtils.column(jvm.catalyst.expressions.Literal(value, df._jdf.schema().apply(0).dataType())))
 
 
-def map_literal(spark: SparkSession, keys: pa.Array, values: pa.Array) -> Callable[[Column], Column]:
-    """A function from a column of the keys' type, text or binary, to its value, or null: maps of two to four keys, by the key's hash."""
-    n = 1 << max(4, len(keys).bit_length() - 2)
+def map_literal(spark: SparkSession, keys: pa.Array, values: pa.Array, room: int = 2) -> Callable[[Column], Column]:
+    """A function from a column of the keys' type, text or binary, to its value, or null: maps of 2 ** (room - 1) to 2 ** room keys, by the key's hash."""
+    n = 1 << max(4, len(keys).bit_length() - room)
     at = spark.createDataFrame(pa.table({"k": keys})).select(F.pmod(F.hash("k"), F.lit(n)).alias("at")).toArrow().column(0).to_numpy() if len(keys) else np.empty(0, np.int64)
     order = np.argsort(at, kind="stable")
     bounds = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n))]).astype(np.int32)
@@ -75,7 +75,7 @@ def folder(spark: SparkSession, ranks: dict[bytes, int]) -> Callable[[Column], C
     The fold's state is the string of pieces, a character for each; a step looks up the rank of every two neighbours joined, in a literal map of all pairs of pieces that the vocabulary joins, and puts the leftmost pair of least rank together. Rank and place are one number, so that the least of them tells both.
     """
     pairs = [(char(ranks[w[:k]]) + char(ranks[w[k:]]), r * PLACES) for w, r in ranks.items() for k in range(1, len(w)) if w[:k] in ranks and w[k:] in ranks]
-    rank = map_literal(spark, pa.array([k for k, _ in pairs], pa.string()), pa.array([r for _, r in pairs], pa.int64()))
+    rank = map_literal(spark, pa.array([k for k, _ in pairs], pa.string()), pa.array([r for _, r in pairs], pa.int64()), 1)
     chars = array_literal(spark, pa.array([char(i) for i in range(max(ranks.values()) + 1)], pa.string()))
     single = [i for i in range(256) if bytes([i]) in ranks]
 
