@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding (operator 3).
 
-Spark's higher-order functions fold the ranked merges over a word's bytes: each step looks up the rank of every two neighbouring pieces joined and merges the leftmost pair of least rank. The ranks are a literal: an array of small maps, by hash, so that a look-up doesn't search all keys. Words are counted over the whole table; the fold runs once for each distinct word that occurs often, and the frequent words' ids become a second literal, of at most FREQUENT entries whatever the size of the table. Words that it lacks are folded where they occur, so no exchange ever holds the texts. Decoding looks up the ids' binary pieces and concatenates them.
+Spark's higher-order functions fold the ranked merges over a word's bytes: each step looks up the rank of every two neighbouring pieces joined and merges the leftmost pair of least rank. The ranks are a literal: an array of small maps, by hash, so that a look-up doesn't search all keys. Words are counted over the whole table; the fold runs once for each distinct word that occurs often, of at most FREQUENT words whatever the size of the table, and their ids are broadcast. One Arrow pass then splits the texts and looks each word up; words that the broadcast lacks are merged there, once in each worker while its table of RARE words lasts, so no exchange ever holds the texts. The same pass decodes the ids' binary pieces and compares them with the text.
 
-A vocabulary is a file of base64 pieces and ranks, the path a parameter; it isn't copied into the repository. The fold of one word takes time with the square of its length, so words of more than LONG characters, and these alone, are merged by encode_word instead, a heap of pairs in Python, with equal results; words that the literal lacks are folded at each place, as joining them to their documents would exchange all texts.
+A vocabulary is a file of base64 pieces and ranks, the path a parameter; it isn't copied into the repository. Words that aren't frequent are merged by encode_short, a list of pairs, and those of more than LONG bytes by encode_word, a heap, since a list takes time with the square of the length; results are those of the fold.
 
 Defined cases: a null text has null tokens, an empty one none; repeated rows are encoded alike; other columns don't matter. Texts that aren't valid UTF-8 are read as Java reads them.
 """
@@ -14,7 +14,6 @@ import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +23,7 @@ from pyspark.sql.classic.column import Column as ClassicColumn
 from stratalens.llm import common, textcols
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-FREQUENT, LONG = 1 << 18, 64
+FREQUENT, RARE, LONG = 1 << 18, 1 << 16, 64
 #: More than the bytes of a word that is folded.
 PLACE_BITS = 20
 PLACES = 1 << PLACE_BITS
@@ -125,6 +124,24 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def encode_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges over a list of pieces: quicker for few of them."""
+    if word in ranks:
+        return [ranks[word]]
+    get, none = ranks.get, 1 << 31
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    pairs = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while pairs and (least := min(pairs)) < none:
+        i = pairs.index(least)
+        pieces[i] += pieces.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(pieces[i] + pieces[i + 1], none)
+        if i:
+            pairs[i - 1] = get(pieces[i - 1] + pieces[i], none)
+    return [ranks[x] for x in pieces]
+
+
 def encode_whole(text: str, ranks: dict[bytes, int]) -> list[int]:
     return [x for w in _words.findall(text) for x in encode_word(w.encode(), ranks)]
 
@@ -168,40 +185,69 @@ def frequent_words(docs: DataFrame, limit: int = FREQUENT) -> DataFrame:
     return counts.where(F.lit(False) if least is None else F.col("n") >= least).select("word")
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, frequent: int = FREQUENT, long: int = LONG) -> DataFrame:
-    """(doc_id, text, tokens): all documents with the ids of their whole texts."""
+class Words(dict):
+    """Word -> its ids as the bytes of 32-bit numbers: the frequent words, and up to `room` others, merged when they are first asked for and forgotten together."""
+
+    def __init__(self, words: list[str], ids: list[bytes], ranks: dict[bytes, int], room: int = RARE, long: int = LONG):
+        super().__init__(zip(words, ids, strict=True))
+        self.words, self.ids, self.ranks, self.room, self.long = words, ids, ranks, room, long
+
+    def __reduce__(self):
+        return Words, (self.words, self.ids, self.ranks, self.room, self.long)
+
+    def __missing__(self, word: str) -> bytes:
+        raw = word.encode()
+        short = len(raw) <= self.long
+        ids = np.array((encode_short if short else encode_word)(raw, self.ranks), np.int32).tobytes()
+        if short:
+            if len(self) >= len(self.words) + self.room:
+                self.clear()
+                self.update(zip(self.words, self.ids, strict=True))
+            self[word] = ids
+        return ids
+
+
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, frequent: int = FREQUENT, rare: int = RARE, long: int = LONG) -> DataFrame:
+    """(doc_id, tokens: the ids of the whole text, n_tokens, round_trip: whether decoding gives the text again) of all documents."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     ranks = read_ranks(vocabulary)
     folded = folder(spark, ranks)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    often = frequent_words(d, frequent).select(F.col("word").cast("string").alias("key"), folded(F.col("word")).alias("ids")).toArrow()
-    pieces = [(w, i) for w, i in ranks.items() if w.isascii() or is_text(w)]  # a word that is a piece is that piece
-    keys = pa.concat_arrays([often.column(0).combine_chunks().cast(pa.string()), pa.array([w for w, _ in pieces], pa.binary()).cast(pa.string())])
-    ids = pa.concat_arrays([often.column(1).combine_chunks().cast(pa.list_(pa.int32())), pa.array([[i] for _, i in pieces], pa.list_(pa.int32()))])
-    look_up = map_literal(spark, keys, ids)
-    del often, pieces, keys, ids
-    shared = spark.sparkContext.broadcast(ranks)
-
-    @F.pandas_udf("array<array<int>>")
-    def merged(words: pd.Series) -> pd.Series:
-        return words.map(lambda ws: [None if w is None else encode_word(w.encode(), shared.value) for w in ws])
-
-    split = d.withColumn("words", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    is_long = lambda w: F.length(w) > long
-    # for each word its ids, or null where it isn't long; no array where no word is
-    at_long = F.when(F.exists("words", is_long), F.transform("words", lambda w: F.when(is_long(w), w))).otherwise(F.array().cast("array<string>"))
-    split = split.withColumn("long", merged(at_long))
-    ids_of = lambda w: F.coalesce(look_up(w), folded(w.cast("binary")))
-    tokens = F.zip_with("words", "long", lambda w, x: F.coalesce(x, ids_of(w)))  # the shorter array is filled up with nulls
-    return split.select("doc_id", "text", F.when(F.col("text").isNotNull(), F.flatten(tokens)).alias("tokens"))
-
-
-def is_text(piece: bytes) -> bool:
-    try:
-        piece.decode()
-    except UnicodeDecodeError:
-        return False
-    return True
+    often = frequent_words(d, frequent).where(F.is_valid_utf8(F.col("word").cast("string"))).select(F.col("word").cast("string").alias("key"), folded(F.col("word")).alias("ids")).toArrow()
+    words, ids = (often.column(i).combine_chunks() for i in range(2))
+    bounds, numbers = (4 * ids.offsets.to_numpy()).tolist(), ids.flatten().to_numpy().astype(np.int32).tobytes()
+    lo = bounds[0] if bounds else 0
+    shared = spark.sparkContext.broadcast(Words(words.to_pylist(), [numbers[i - lo : j - lo] for i, j in zip(bounds, bounds[1:])], ranks, rare, long))
+    del often, words, ids, bounds, numbers
+    kinds = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int32())), ("n_tokens", pa.int32()), ("round_trip", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        ids_of = table.__getitem__
+        pieces = [b""] * (max(table.ranks.values()) + 1)
+        for piece, i in table.ranks.items():
+            pieces[i] = piece
+        pieces = pa.array(pieces, pa.binary())
+        for b in batches:
+            null, valid = (x.to_numpy(zero_copy_only=False) for x in (b.column(1).is_null(), b.column(2)))
+            for i, j, buf, at in textcols.chunks(b.column(1), 8 * textcols.CHUNK):
+                raw, ends = buf.tobytes(), at.tolist()
+                tokens = [b"".join(map(ids_of, _words.findall(raw[x:y].decode()))) for x, y in zip(ends, ends[1:])]
+                places = np.cumsum([0, *map(len, tokens)]) // 4
+                numbers = pa.array(np.frombuffer(b"".join(tokens), np.int32))
+                back = pieces.take(numbers)
+                _, off, data = back.buffers()
+                where = (np.frombuffer(off, np.int32)[places] if len(back) else 0 * places).tolist()
+                out = data.to_pybytes() if data is not None else b""
+                same = [out[x:y] == raw[u:v] for x, y, u, v in zip(where, where[1:], ends, ends[1:])]
+                lists = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), numbers, mask=pa.array(null[i:j]))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), lists, pa.array(np.diff(places).astype(np.int32)), pa.array(np.array(same, bool) & valid[i:j])], schema=kinds)
+
+    # bytes that are no text become what Java reads them as
+    as_java = F.array_join(F.regexp_extract_all("text", F.lit("(?s).+"), F.lit(0)), "")
+    valid = F.coalesce(F.is_valid_utf8("text"), F.lit(True))
+    return d.select("doc_id", F.when(valid, F.col("text")).otherwise(as_java).alias("text"), valid.alias("valid")).mapInArrow(run, "doc_id long, tokens array<int>, n_tokens int, round_trip boolean")
 
 
 def decoded(spark: SparkSession, tokens: Column, vocabulary: str = VOCABULARY) -> Column:
@@ -216,5 +262,4 @@ def decoded(spark: SparkSession, tokens: Column, vocabulary: str = VOCABULARY) -
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, tokens, n_tokens, round_trip: whether decoding gives the text again) of every document."""
-    e = encode(docs, vocabulary)
-    return e.select("doc_id", "tokens", F.coalesce(F.size("tokens"), F.lit(0)).alias("n_tokens"), F.col("text").eqNullSafe(decoded(docs.sparkSession, F.col("tokens"), vocabulary)).alias("round_trip"))
+    return encode(docs, vocabulary)

@@ -111,6 +111,32 @@ def test_words_and_merges(spark, text):
     assert got.tokens == bpe.encode_whole(text, bpe.read_ranks()) and got.round_trip
 
 
+def test_rare_words_are_merged_once_and_forgotten(spark):
+    rng = random.Random(3)
+    ranks = bpe.read_ranks()
+    words = ["".join(rng.choices("abcdeéfgh 12.'短", k=rng.randrange(1, 90))) for _ in range(400)]
+    assert all(bpe.encode_short(w.encode(), ranks) == bpe.encode_word(w.encode(), ranks) for w in words)
+    table = bpe.Words(["x"], [b"frequent"], ranks, room=10)
+    for w in words:
+        assert np.frombuffer(table[w], np.int32).tolist() == bpe.encode_word(w.encode(), ranks) and len(table) <= 11
+    assert table["x"] == b"frequent"
+    texts = [" ".join(words[i::40]) for i in range(40)]
+    got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), frequent=5, rare=7)
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().toString()  # no second engine at each word
+    got = got.withColumn("back", bpe.decoded(spark, F.col("tokens"))).collect()
+    assert len(got) == 40
+    for r in got:
+        assert r.tokens == bpe.encode_whole(texts[r.doc_id], ranks) and r.back == texts[r.doc_id] and r.round_trip
+
+
+def test_bytes_that_are_no_text(spark):
+    rows = [(1, b"caf\xe9 ab\xff"), (2, b"\xed\xa0\x80 x"), (3, b"\xf0\x9f\x98"), (4, "café".encode())]
+    d = spark.createDataFrame(rows, "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    java = {1: "caf\ufffd ab\ufffd", 2: "\ufffd x", 3: "\ufffd", 4: "café"}
+    ranks = bpe.read_ranks()
+    assert {r.doc_id: (r.tokens, r.round_trip) for r in bpe.encoded(d).collect()} == {i: (bpe.encode_whole(t, ranks), i == 4) for i, t in java.items()}
+
+
 def test_null_text_has_null_tokens(spark):
     got = bpe.encoded(table(spark, [(1, None, None, None)])).first()
     assert (got.tokens, got.n_tokens, got.round_trip) == (None, 0, True)
