@@ -2,6 +2,8 @@
 
 A document's shingles are its runs of SHINGLE words (runs of ASCII letters and digits and of all other characters' bytes, ASCII case ignored). Shingle hashes go through the permutation sigma into a universe of 2 ** 20 points; coordinate k of the signature is the least pi[(sigma(x) + k) mod 2 ** 20] over the shingles x: the second permutation, circularly shifted, gives all coordinates, and the values that one shingle brings lie side by side in its table. Bands of ROWS coordinates choose candidate pairs; the exact Jaccard index of the shingle sets decides; groups are the connected components.
 
+Most dissimilar candidates never meet their texts: each set has a sketch, a bit for the hash of each shingle. Every bit in which two sketches differ is a shingle of one set alone, so too many of them, or sizes too far apart, prove that the index is below the threshold: no link is lost by it.
+
 Defined cases: fewer words than SHINGLE make one shingle; a text with no word (signs only) is one shingle as a whole; null or empty texts and rows with a null doc_id are near nothing and kept; rows of one doc_id count as one document, near whatever any of its texts is near; a document is in one group only, of ties the least doc_id is kept; an empty table gives no group; a text of any length is read whole; other columns don't matter.
 """
 
@@ -21,6 +23,10 @@ from stratalens.llm.textcols import U
 
 SHINGLE, BANDS, ROWS, THRESHOLD, SEED = 3, 42, 3, 0.5, 20
 UNIVERSE_BITS = 20
+#: Least and most bits of a sketch.
+SKETCH, SKETCHES = 1 << 10, 1 << 13
+#: Pairs, and rows of buckets, that are held at once.
+PAIRS, HELD = 1 << 16, 1 << 14
 _tables: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -69,16 +75,64 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray
                 yield np.empty(0, U)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Bits of which each shingle sets one: twice as many as shingles at least, as far as SKETCHES goes, and a power of two, so that halves laid on each other are the sketch of half as many."""
+    n = min(SKETCHES, max(SKETCH, 2 << max(0, len(shingles) - 1).bit_length()))
+    bits = np.zeros(n, bool)
+    bits[(shingles >> U(UNIVERSE_BITS)).astype(np.int64) & (n - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+class Sketches:
+    """The sketches of a column, for each number of bits those of as many or more."""
+
+    def __init__(self, column: pa.Array):
+        raw = column.to_pylist()
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.lengths, self.folded = lengths, {}
+        above = np.empty((0, SKETCHES // 64), U)
+        where = np.empty(0, np.int64)
+        n = SKETCHES // 8
+        while n >= SKETCH // 8:
+            own = np.flatnonzero(lengths == n)
+            bits = np.frombuffer(b"".join([raw[i] for i in own]), U).reshape(-1, n // 8)
+            above, where = np.concatenate([bits, above]), np.concatenate([own, where])
+            at = np.full(len(column), -1)
+            at[where] = np.arange(len(where))
+            self.folded[n] = above, at
+            above = above[:, : n // 16] | above[:, n // 16 :]
+            n //= 2
+
+
+def may_be_near(x: Sketches, y: Sketches, i: np.ndarray, j: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether x[i] and y[j], whose sizes have the sums `sizes`, can reach the threshold as far as their sketches tell."""
+    most, out = sizes * ((1 - threshold) / (1 + threshold)) + 1e-6, np.ones(len(i), bool)
+    common_length = np.minimum(x.lengths[i], y.lengths[j])
+    for n in np.unique(common_length).tolist():
+        (a, at), (b, bt), own = x.folded[n], y.folded[n], np.flatnonzero(common_length == n)
+        step = max(1, (1 << 22) // n)
+        for k in range(0, len(own), step):
+            o = own[k : k + step]
+            out[o] = np.bitwise_count(a[at[i[o]]] ^ b[bt[j[o]]]).sum(axis=1, dtype=np.int64) <= most[o]
+    return out
+
+
+def near_sizes(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    return np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-6
+
+
 def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
-    """(doc_id, part: the text's hash, whole: one of the shingle set, bands: array of the bands' hashes) of each document with a text."""
+    """(doc_id, part: the text's hash, whole: one of the shingle set, size: its shingles, sketch, bands: array of the bands' hashes) of each document with a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = textcols.mix(np.arange(1, bands + 1, dtype=U))
         for b in batches:
-            whole, keys, ids = [], [], []
+            whole, keys, ids, sizes, sketches = [], [], [], [], []
             for i, s in enumerate(shingle_sets(b.column(1), shingle)):
                 if len(s):
                     ids.append(i)
+                    sizes.append(len(s))
+                    sketches.append(sketch(s))
                     whole.append(textcols.mix1(int(np.bitwise_xor.reduce(s)) + len(s)))
                     sig = signature(s, bands * rows, seed).reshape(bands, rows).astype(U)
                     with np.errstate(over="ignore"):
@@ -89,10 +143,10 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
             keys = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * bands), keys)
             at = pa.array(ids, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(np.array(whole, U).view(np.int64)), lists], ["doc_id", "part", "whole", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(np.array(whole, U).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists], ["doc_id", "part", "whole", "size", "sketch", "bands"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text <> ''").withColumn("part", F.xxhash64("text"))
-    return d.mapInArrow(run, "doc_id long, part long, whole long, bands array<long>")
+    return d.mapInArrow(run, "doc_id long, part long, whole long, size long, sketch binary, bands array<long>")
 
 
 def jaccard(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -110,10 +164,68 @@ def jaccard(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataF
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, j double")
 
 
+def possible(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sketches don't rule them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every, x, y = np.arange(b.num_rows), Sketches(b.column(2)), Sketches(b.column(4))
+            sizes = b.column(3).to_numpy(), b.column(5).to_numpy()
+            keep = near_sizes(*sizes, threshold) & may_be_near(x, y, every, every, sizes[0] + sizes[1], threshold)
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    joined = pairs.join(sketches.toDF("b", "yn", "y"), "b").join(sketches.toDF("a", "xn", "x"), "a")
+    return joined.select("a", "b", "x", "xn", "y", "yn").mapInArrow(run, "a long, b long")
+
+
+def in_buckets(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows (key, rep, lead, root, odd, size, sketch) -> (a, b): within each key the odd ones with all of other roots but the leader, unless sizes or sketches rule them out. Pairs are made PAIRS at a time and mostly end there, so that a bucket of many dissimilar sets costs no exchange and no text."""
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, rep, lead, root, odd, size = (t[c].to_numpy() for c in ("key", "rep", "lead", "root", "odd", "size"))
+        bits = Sketches(t["sketch"].combine_chunks())
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        group = np.searchsorted(new, np.arange(len(key)), "right") - 1
+        first, after = new[group], np.append(new[1:], len(key))[group]
+        whole = np.flatnonzero(odd)
+        ends = np.cumsum(after[whole] - first[whole])
+        total, done = int(ends[-1]) if len(ends) else 0, 0
+        while done < total:
+            at = np.arange(done, min(total, done + PAIRS))
+            k = np.searchsorted(ends, at, "right")
+            i = whole[k]
+            j = after[i] - (ends[k] - at)
+            done = int(at[-1]) + 1
+            for test in (lambda: root[i] != root[j], lambda: near_sizes(size[i], size[j], threshold), lambda: (rep[j] != lead[j]) & (~odd[j] | (rep[i] > rep[j])), lambda: may_be_near(bits, bits, i, j, size[i] + size[j], threshold)):
+                keep = test()
+                i, j = i[keep], j[keep]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[i], rep[j])), pa.array(np.minimum(rep[i], rep[j]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n, want = 0, HELD
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= want:
+                t = pa.Table.from_batches(held)
+                key = t["key"].to_numpy()
+                cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0  # the last bucket may go on
+                yield from pairs(t.slice(0, cut)) if cut else ()
+                held = t.slice(cut).to_batches()
+                n -= cut
+                want = max(HELD, 2 * n)
+        if n:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return rows.select("key", "rep", "lead", "root", "odd", "size", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
 def groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
     """(doc_id, group_id, group_size, keep) of each document in a group of two or more; group_id is the group's least doc_id, the one to keep.
 
-    The nodes are the distinct shingle sets, so that documents of equal ones are joined first and one text stands for all. In each band's bucket, all are compared with the least one; then the pairs in a bucket that this leaves in different groups are compared too, so that every candidate pair is decided exactly, without the square of a group of copies. The sets of one doc_id are joined as well.
+    The nodes are the distinct shingle sets, so that documents of equal ones are joined first and one text stands for all. In each band's bucket, all are compared with the least one; then the pairs in a bucket that this leaves in different groups are compared too, so that every candidate pair is decided exactly, without the square of a group of copies. Texts are read only for the pairs that sizes and sketches leave open. The sets of one doc_id are joined as well.
     """
     common.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -124,15 +236,17 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE
     chosen = buckets.select("rep", "doc_id", "part").distinct()
     texts = docs.where("text <> ''").withColumn("part", F.xxhash64("text"))
     texts = common.stored(common.with_small(texts, chosen, ["doc_id", "part"], "inner").dropDuplicates(["rep"]).select("rep", "text"), "candidates")
-    stars = common.stored(jaccard(buckets.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), texts, shingle), "stars")
+    sketches = sigs.select(F.col("whole").alias("rep"), "size", "sketch").join(chosen.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    sketches = common.stored(sketches, "sketches")
+    led = possible(buckets.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), sketches, threshold)
+    stars = common.stored(jaccard(led, texts, shingle), "stars")
     near = stars.where(F.col("j") >= threshold).select("a", "b")
     parts = common.components(near, "parts")
     # a bucket's members outside its leader's group, against all of other groups in that bucket
     inside = buckets.select("key", "rep", "lead").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     at_lead = F.max(F.when(F.col("rep") == F.col("lead"), F.col("root"))).over(key)
     open_ = common.stored(inside.withColumn("at_lead", at_lead).withColumn("odd", F.col("root") != F.col("at_lead")).withColumn("any", F.max("odd").over(key)).where("any").select("key", "rep", "lead", "root", "odd"), "open")
-    x, y = open_.where("odd").alias("x"), open_.alias("y")
-    rest = x.join(y, "key").where("x.root <> y.root and y.rep <> y.lead and (not y.odd or x.rep > y.rep)").select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
+    rest = in_buckets(open_.join(sketches, "rep"), threshold)
     more = jaccard(rest.join(stars, ["a", "b"], "left_anti"), texts, shingle).where(F.col("j") >= threshold).select("a", "b")
     ids = sigs.select("doc_id", "whole").distinct()
     several = ids.groupBy("doc_id").agg(F.min("whole").alias("b"), F.collect_set("whole").alias("a")).where("size(a) > 1").select(F.explode("a").alias("a"), "b")

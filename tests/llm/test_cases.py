@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,6 +253,45 @@ def test_masking(spark):
     assert len(changed) == 30 and all(r.n_chars == len(r.text) for r in changed)
 
 
+def test_dissimilar_documents_of_one_bucket_end_before_their_texts(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    passage = " ".join(word() for _ in range(25))
+    rows = []
+    for i in range(150):
+        own = [word() for _ in range(60)]
+        rows += [(2 * i, f"{passage} {' '.join(own)}"), (2 * i + 1, f"{passage} {' '.join(own[:-9])} {word()}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    asked, jaccard = [], near_dedup.jaccard
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return jaccard(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "jaccard", counted)
+    monkeypatch.setattr(near_dedup, "PAIRS", 100)
+    monkeypatch.setattr(near_dedup, "HELD", 10)
+    got = near_dedup.groups(d).collect()
+    assert {r.doc_id: r.group_id for r in got} == {i: i // 2 * 2 for i in range(300)}
+    assert sum(asked) < 400, asked
+
+
+def test_sketches_rule_out_no_near_pair():
+    rng = np.random.default_rng(5)
+    x, y = [], []
+    for _ in range(400):
+        n = int(2 ** rng.uniform(0, 14))
+        both, own, other = (rng.integers(0, 1 << 63, k).astype(np.uint64) for k in (n, rng.integers(0, n + 1), rng.integers(0, n + 1)))
+        x.append(np.unique(np.r_[both, own]))
+        y.append(np.unique(np.r_[both, other]))
+    shared = np.array([len(np.intersect1d(a, b)) for a, b in zip(x, y, strict=True)])
+    n, m = (np.array([len(a) for a in z]) for z in (x, y))
+    at = np.arange(400)
+    open_ = near_dedup.near_sizes(n, m, 0.5) & near_dedup.may_be_near(*(near_dedup.Sketches(pa.array([near_dedup.sketch(a) for a in z])) for z in (x, y)), at, at, n + m, 0.5)
+    assert open_[shared / (n + m - shared) >= 0.5].all()
+    assert not near_dedup.may_be_near(*(near_dedup.Sketches(pa.array([near_dedup.sketch(a) for a in z])) for z in (x[:-1], x[1:])), at[:-1], at[:-1], n[:-1] + n[1:], 0.5)[(n < 4096)[1:] & (n < 4096)[:-1] & near_dedup.near_sizes(n[:-1], n[1:], 0.5)].any()
+
+
 @pytest.mark.parametrize("stage", [n for n, _ in corpus_pipeline.STAGES])
 @pytest.mark.parametrize("rows", [[], ROWS], ids=["empty", "odd"])
 def test_stages(spark, tmp_path, stage, rows):
