@@ -6,40 +6,91 @@ import operator
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratalens.documents import parse
 
-SCHEMA = "doc string, rec long, id long, parent_id long, ord long, depth int, kind int, name string, value string, n_children long, path string, key string"
+TYPES = {"doc": pa.string(), "rec": pa.int64(), "id": pa.int64(), "parent_id": pa.int64(), "ord": pa.int64(), "depth": pa.int32(), "kind": pa.int32(), "name": pa.string(), "value": pa.string(), "n_children": pa.int64(), "path": pa.string(), "key": pa.string()}
 ROOT = 1
 MAX_CHILDREN, MAX_VALUE, MAX_WHOLE, MAX_FOUND = 1000, 4096, 10_000_000, 500
+#: Nodes and characters of text after which a batch of nodes is handed on.
+BATCH_NODES, BATCH_CHARS = 20_000, 8 << 20
 _READERS = {"json": parse.parse_json, "strict": lambda t: parse.parse_json(t, True), "xml": parse.parse_xml, "csv": parse.csv_nodes}
 
 
-def shred(texts: DataFrame, format: str = "json", on_error: str = "raise") -> DataFrame:
-    """(doc, rec, text) -> nodes with ids local to their record, from 1, in pre-order. Records are read where they lie, no exchange; on_error="skip" drops the ones that can't be read (see `broken`)."""
+def _select(texts: DataFrame, more: list[str] | None = None) -> DataFrame:
+    return texts.select(F.col("doc").cast("string"), F.col("rec").cast("long"), F.col("text").cast("string"), *(more or []))
+
+
+def _batch(records: list[tuple[tuple, parse.Shape, list]], own: list[str], columns: list[str]) -> pa.RecordBatch:
+    """Records (values of own, shape, values) as nodes: each shape's nodes stand once in a table from which the rows are taken, so that the work for a node isn't Python's."""
+    starts: dict[int, int] = {}
+    table: list[parse.Node] = []
+    slots: list[int] = []
+    for _, shape, _ in records:
+        if id(shape) not in starts:
+            starts[id(shape)] = len(table)
+            table += shape.nodes
+            slots += shape.slots
+    sizes = np.array([len(s.nodes) for _, s, _ in records])
+    record = np.repeat(np.arange(len(records)), sizes)
+    at = np.arange(len(record)) + (np.array([starts[id(s)] for _, s, _ in records]) - (np.cumsum(sizes) - sizes))[record]
+    taken = pa.array(at)
+
+    def column(name: str) -> pa.Array:
+        if name in own:
+            return pa.array([r[0][own.index(name)] for r in records], TYPES.get(name, pa.int64())).take(pa.array(record))
+        k = parse.Node._fields.index("parent" if name == "parent_id" else name)
+        fixed = pa.array([x[k] for x in table], TYPES[name])
+        if name != "value":
+            return fixed.take(taken)
+        counts = np.array([len(v) for _, _, v in records])
+        slot = np.array(slots)[at]
+        values = pa.array([v for _, _, vs in records for v in vs], pa.string())
+        varied = values.take(pa.array((np.cumsum(counts) - counts)[record] + slot, mask=slot < 0))
+        return pc.if_else(pa.array(slot < 0), fixed.take(taken), varied)
+
+    return pa.RecordBatch.from_arrays([column(c) for c in columns], columns)
+
+
+def shred(texts: DataFrame, format: str = "json", on_error: str = "raise", columns: list[str] | None = None, own: list[str] | None = None) -> DataFrame:
+    """(doc, rec, text) -> nodes with ids local to their record, from 1, in pre-order; only these columns if they are named, as Spark can't leave out what Python makes. Records are read where they lie, no exchange; on_error="skip" drops the ones that can't be read (see `broken`). own: more columns of texts, numbers, that each node of a record repeats."""
     read = _READERS[format]
+    own = ["doc", "rec", *(own or [])]
+    columns = columns or [*own, *(c for c in TYPES if c not in own)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = parse.Reader(read)
         for b in batches:
-            for doc, rec, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            texts_, rest = b.column(2).to_pylist(), [b.column(k).to_pylist() for k in range(b.num_columns) if k != 2]
+            records: list[tuple[tuple, parse.Shape, list]] = []
+            n = chars = 0
+            for text, *ids in zip(texts_, *rest, strict=True):
                 try:
-                    found = read(text or "")
+                    shape, values = reader.read(text or "")
                 except parse.Bad:
                     if on_error == "raise":
                         raise
                     continue
-                for k in range(0, len(found), 20_000):
-                    part = list(zip(*found[k : k + 20_000], strict=True))
-                    n = len(part[0])
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
-                    arrays = [pa.array([doc] * n, pa.string()), pa.array([rec] * n, pa.int64()), *(pa.array(c, t) for c, t in zip(part, kinds, strict=True))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["doc", "rec", "id", "parent_id", "ord", "depth", "kind", "name", "value", "n_children", "path", "key"])
-
-    return texts.select(F.col("doc").cast("string"), F.col("rec").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+                if records and (n + len(shape.nodes) > BATCH_NODES or chars > BATCH_CHARS):
+                    yield _batch(records, own, columns)
+                    records, n, chars = [], 0, 0
+                if len(shape.nodes) > BATCH_NODES:
+                    for k in range(0, len(shape.nodes), BATCH_NODES):
+                        yield _batch([(ids, parse.Shape(shape.nodes[k : k + BATCH_NODES], shape.slots[k : k + BATCH_NODES]), values)], own, columns)
+                elif shape.nodes:
+                    records.append((ids, shape, values))
+                    n, chars = n + len(shape.nodes), chars + len(text)
+            if records:
+                yield _batch(records, own, columns)
+
+    types = {pa.string(): "string", pa.int64(): "long", pa.int32(): "int"}
+    return _select(texts, own[2:]).mapInArrow(run, ", ".join(f"`{c}` {types[TYPES.get(c, pa.int64())]}" for c in columns))
 
 
 def broken(texts: DataFrame, format: str = "json") -> DataFrame:
@@ -56,7 +107,7 @@ def broken(texts: DataFrame, format: str = "json") -> DataFrame:
                     out.append((doc, rec, str(e)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["doc", "rec", "message"])
 
-    return texts.select(F.col("doc").cast("string"), F.col("rec").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc string, rec long, message string")
+    return _select(texts).mapInArrow(run, "doc string, rec long, message string")
 
 
 def document(nodes: DataFrame, xml: bool = False) -> DataFrame:

@@ -32,6 +32,11 @@ def in_order(df: DataFrame, keys: list[Column]) -> DataFrame:
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", at).withColumns({PART: F.shiftright("__at", 33).cast("int"), PLACE: F.col("__at").bitwiseAND((1 << 33) - 1)}).drop("__at")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df over as many tasks as the session's shuffles have. A file is read by as many tasks as it has row groups, often one, and work that is long for each row, as parsing is, would stay with them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def part_sizes(df: DataFrame) -> list[tuple[int, int, int]]:
     """(part, first view row, rows) of a stored table that in_order sorted: a row for each partition, whatever the number of rows."""
     sizes = sorted((r[0], r[1]) for r in df.groupBy(PART).agg(F.count(F.lit(1))).collect())

@@ -321,7 +321,13 @@ _KIND = "CASE t.type WHEN 'OBJECT' THEN 0 WHEN 'ARRAY' THEN 1 WHEN 'VARCHAR' THE
 
 def json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit('{"id":'), F.col("o_orderkey"), F.lit(',"tags":["'), F.col("o_orderstatus"), F.lit('",'), F.col("o_custkey"), F.lit(',null],"in":{"p":"'), F.col("o_orderpriority"), F.lit('","ok":true}}'))
-    return table(spark, sf_dir, "orders").select(F.lit("orders").alias("doc"), F.col("o_orderkey").alias("rec"), text.alias("text"))
+    orders = rows.spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
+    return orders.select(F.lit("orders").alias("doc"), F.col("o_orderkey").alias("rec"), text.alias("text"))
+
+
+def event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = rows.spread(table(spark, sf_dir, "events").select("event_id", "props"), "event_id")
+    return events.select(F.lit("events").alias("doc"), F.col("event_id").alias("rec"), F.col("props").alias("text"))
 
 
 @query(f"SELECT rec, fullkey AS path, CAST(CASE type WHEN 'OBJECT' THEN 0 WHEN 'ARRAY' THEN 1 WHEN 'VARCHAR' THEN 2 WHEN 'BOOLEAN' THEN 4 WHEN 'NULL' THEN 5 ELSE 3 END AS INTEGER) AS kind, CASE WHEN type IN ('OBJECT', 'ARRAY', 'NULL') THEN NULL ELSE json_extract_string(atom, '$') END AS value FROM {_TREE}")
@@ -374,7 +380,7 @@ def json_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = json_texts(spark, sf_dir)
     text = F.when(F.col("rec") % 50 == 0, F.regexp_replace("text", '"p":"[^"]*"', '"p":"x"')).otherwise(F.col("text"))
     text = F.when(F.col("rec") % 70 == 0, F.regexp_replace(text, "null]", "null,{}]")).otherwise(text)
-    return convert.diff(nodes.shred(left), nodes.shred(left.withColumn("text", text))).select("rec", "op", "path", "a", "b")
+    return convert.diff_texts(left, left.withColumn("text", text)).select("rec", "op", "path", "a", "b")
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS key, '$.tags[1]' AS path FROM orders WHERE o_custkey > 100")
