@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratalens.documents import parse
+from stratalens.operators import rows
 
 TYPES = {"doc": pa.string(), "rec": pa.int64(), "id": pa.int64(), "parent_id": pa.int64(), "ord": pa.int64(), "depth": pa.int32(), "kind": pa.int32(), "name": pa.string(), "value": pa.string(), "n_children": pa.int64(), "path": pa.string(), "key": pa.string()}
 ROOT = 1
@@ -110,22 +111,62 @@ def broken(texts: DataFrame, format: str = "json") -> DataFrame:
     return _select(texts).mapInArrow(run, "doc string, rec long, message string")
 
 
-def document(nodes: DataFrame, xml: bool = False) -> DataFrame:
-    """Nodes with one numbering a document: the synthetic root is 1, an array, then the records' nodes in order; of JSON with one value that value's path is $, of several $[i]. The offsets come from a row for each record, so only these are sorted by document."""
-    tops = nodes.where("parent_id is null").groupBy("doc", "rec").agg(F.count(F.lit(1)).alias("tops"))
-    sizes = nodes.groupBy("doc", "rec").agg(F.count(F.lit(1)).alias("n")).join(tops, ["doc", "rec"])
-    before = Window.partitionBy("doc").orderBy("rec").rowsBetween(Window.unboundedPreceding, -1)
-    at = sizes.select("doc", "rec", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__ids"), F.coalesce(F.sum("tops").over(before), F.lit(0)).alias("__tops"), F.sum("tops").over(Window.partitionBy("doc")).alias("__all"))
+def _numbered(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, rec, __n, __tops, ...), a row for each record -> the same with __ids and __before, the nodes and tops of the document's records before, and __all, its tops; and (doc, __all), a row for each document. A range exchange sorts the records, and the sums of each part of a document, one row each, give the part's offsets: no task has all records of a large document."""
+    tasks = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = rows.stored(sizes.repartitionByRange(tasks, "doc", "rec").withColumn("__part", F.spark_partition_id()), "numbered")
+    before = Window.partitionBy("doc").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda w: [F.coalesce(F.sum(c).over(w), F.lit(0)) for c in ("__n", "__tops")]
+    parts = d.groupBy("doc", "__part").agg(F.sum("__n").alias("__n"), F.sum("__tops").alias("__tops"))
+    ids, tops = sums(before)
+    offsets = parts.select(F.col("doc").alias("__doc"), F.col("__part").alias("__of"), ids.alias("__ids0"), tops.alias("__before0"), F.sum("__tops").over(Window.partitionBy("doc")).alias("__all"))
+    ids, tops = sums(Window.partitionBy("doc", "__part").orderBy("rec").rowsBetween(Window.unboundedPreceding, -1))
+    out = d.withColumns({"__ids": ids, "__before": tops}).join(offsets, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("__part") == F.col("__of")))
+    own = {"__ids": F.col("__ids") + F.col("__ids0"), "__before": F.col("__before") + F.col("__before0")}
+    return out.withColumns(own).drop("__doc", "__of", "__ids0", "__before0", "__part"), parts.groupBy("doc").agg(F.sum("__tops").alias("__all"))
+
+
+def _placed(nodes: DataFrame, docs: DataFrame, xml: bool) -> DataFrame:
+    """Nodes with their records' __ids, __before and __all, by the document's numbering, and the roots."""
     top = F.col("parent_id").isNull()
-    ord_ = F.when(top, F.col("ord") + F.col("__tops")).otherwise(F.col("ord"))
+    ord_ = F.when(top, F.col("ord") + F.col("__before")).otherwise(F.col("ord"))
     # every record's own tops are in order, and a path begins with its top's place where a document has several
-    first = F.coalesce(F.regexp_extract("key", r"^i(\d+)", 1).cast("long"), F.lit(0)) + F.col("__tops")
+    first = F.coalesce(F.regexp_extract("key", r"^i(\d+)", 1).cast("long"), F.lit(0)) + F.col("__before")
     lead = F.lit("") if xml else F.when(F.col("__all") == 1, F.lit("$")).otherwise(F.concat(F.lit("$["), first.cast("string"), F.lit("]")))
-    body = nodes.join(at, ["doc", "rec"]).select("doc", "rec", (F.col("id") + F.col("__ids") + ROOT).alias("id"), F.when(top, F.lit(ROOT).cast("long")).otherwise(F.col("parent_id") + F.col("__ids") + ROOT).alias("parent_id"), ord_.alias("ord"), "depth", "kind", "name", "value", "n_children", F.concat(lead, F.col("path")).alias("path"), "key")
-    roots = at.select("doc", "__all").distinct().select("doc", F.lit(-1).cast("long").alias("rec"), F.lit(ROOT).cast("long").alias("id"), F.lit(None).cast("long").alias("parent_id"), F.lit(0).cast("long").alias("ord"), F.lit(0).alias("depth"), F.lit(parse.ARRAY).alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("value"), F.col("__all").cast("long").alias("n_children"), F.lit("" if xml else "$").alias("path"), F.lit(None).cast("string").alias("key"))
+    body = nodes.select("doc", "rec", (F.col("id") + F.col("__ids") + ROOT).alias("id"), F.when(top, F.lit(ROOT).cast("long")).otherwise(F.col("parent_id") + F.col("__ids") + ROOT).alias("parent_id"), ord_.alias("ord"), "depth", "kind", "name", "value", "n_children", F.concat(lead, F.col("path")).alias("path"), "key")
+    roots = docs.select("doc", F.lit(-1).cast("long").alias("rec"), F.lit(ROOT).cast("long").alias("id"), F.lit(None).cast("long").alias("parent_id"), F.lit(0).cast("long").alias("ord"), F.lit(0).alias("depth"), F.lit(parse.ARRAY).alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("value"), F.col("__all").cast("long").alias("n_children"), F.lit("" if xml else "$").alias("path"), F.lit(None).cast("string").alias("key"))
     return roots.unionByName(body)
 
 
+def document(nodes: DataFrame, xml: bool = False) -> DataFrame:
+    """Nodes with one numbering a document: the synthetic root is 1, an array, then the records' nodes in order; of JSON with one value that value's path is $, of several $[i]. The offsets come from a row for each record, so only these are sorted by document; but the nodes are joined with them, which `shred_document` spares."""
+    at, docs = _numbered(nodes.groupBy("doc", "rec").agg(F.count(F.lit(1)).alias("__n"), F.count(F.when(F.col("parent_id").isNull(), F.lit(1))).alias("__tops")))
+    return _placed(nodes.join(at, ["doc", "rec"]), docs, xml)
+
+
+def shred_document(texts: DataFrame, format: str = "json", on_error: str = "raise") -> DataFrame:
+    """`document(shred(texts))`, but it is the texts that are counted, sorted and numbered, at once, and their nodes are made with their final places and stay where they are."""
+    read = _READERS[format]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = parse.Reader(read)
+        for b in batches:
+            sizes: list[tuple[int, int]] = []
+            for text in b.column(2).to_pylist():
+                try:
+                    found = reader.read(text or "")[0].nodes
+                except parse.Bad:
+                    if on_error == "raise":
+                        raise
+                    found = []
+                sizes.append((len(found), sum(x.parent is None for x in found)))
+            counts = [pa.array([s[k] for s in sizes], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *counts], ["doc", "rec", "text", "__n", "__tops"]).filter(pc.greater(counts[0], 0))
+
+    at, docs = _numbered(_select(texts).mapInArrow(run, "doc string, rec long, text string, __n long, __tops long"))
+    return _placed(shred(at, format, own=["__ids", "__before", "__all"]), docs, format == "xml")
+
+
 def write(nodes: DataFrame, path: str) -> None:
     """The table stored by document, its rows by parent and order, so that a page of children is a few row groups."""
     nodes.repartition("doc").sortWithinPartitions("doc", "parent_id", "ord").write.mode("overwrite").partitionBy("doc").parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,3 +64,17 @@ def view_start(sizes: list[tuple[int, int, int]]) -> Column:
     low = min(starts, default=0)
     table = F.array(*(F.lit(starts.get(p, 0)).cast("long") for p in range(low, max(starts, default=0) + 1)))
     return F.get(table, F.col(PART) - low)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that all executors share, spark.checkpoint.dir (where that is unset on one machine, a temporary one), and read again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="stratalens-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/stratalens/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

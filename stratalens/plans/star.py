@@ -367,7 +367,7 @@ def json_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS rec, row_number() OVER (ORDER BY o_orderkey) - 1 AS ord, 2 + 9 * (row_number() OVER (ORDER BY o_orderkey) - 1) AS id, CAST(3 AS BIGINT) AS n_children, '$[' || (row_number() OVER (ORDER BY o_orderkey) - 1) || ']' AS path FROM orders")
 def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.document(nodes.shred(json_texts(spark, sf_dir))).where("parent_id = 1").select("rec", "ord", "id", "n_children", "path")
+    return nodes.shred_document(json_texts(spark, sf_dir)).where("parent_id = 1").select("rec", "ord", "id", "n_children", "path")
 
 
 @query("SELECT o_orderkey AS rec, '{\"id\":' || o_orderkey || ',\"in\":{\"p\":\"' || o_orderpriority || '\"}}' AS text FROM orders")

@@ -8,6 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from stratalens.documents import convert, nodes, parse
+from stratalens.operators import rows
 from stratalens.plans import star
 
 FOLDER = "/root/testdata/sf0.001"
@@ -86,6 +87,44 @@ def test_one_row_group_is_read_by_all_tasks(spark):
         assert max(len(p) for p in texts.rdd.glom().collect()) < texts.count() / 2
 
 
+@pytest.mark.parametrize("make", [lambda t, f: nodes.document(nodes.shred(t, f), f == "xml"), nodes.shred_document])
+@pytest.mark.parametrize("format", ["json", "xml"])
+def test_documents_are_numbered(spark, make, format):
+    r = random.Random(5)
+    one = (lambda: "[" + ",".join(["1"] * r.randrange(5)) + "]" + r.choice(["", ' {"a":2}'])) if format == "json" else (lambda: "<a>" + "<b/>" * r.randrange(4) + "</a>")
+    docs = {d: {k * 7 - 20: one() for k in range(n)} for d, n in (("x", 200), ("y", 1), ("z", 3))}
+    table = [(d, rec, t) for d, rs in docs.items() for rec, t in rs.items()] + [("x", 5000, None)] * (format == "json") + [("none", 0, None)] * (format == "json")
+    r.shuffle(table)
+    want = []
+    for d, rs in docs.items():
+        found = [(rec, parse.parse_json(t) if format == "json" else parse.parse_xml(t)) for rec, t in sorted(rs.items())]
+        tops = [x for _, f in found for x in f if x.parent is None]
+        want.append((d, 1, None, 0, len(tops), "" if format == "xml" else "$"))
+        ids = before = 0
+        for rec, f in found:
+            mine = [x for x in f if x.parent is None]
+            for x in f:
+                place = before + [m.id <= x.id for m in mine].count(True) - 1
+                path = x.path if format == "xml" else ("$" if len(tops) == 1 else f"$[{place}]") + x.path
+                want.append((d, x.id + ids + 1, 1 if x.parent is None else x.parent + ids + 1, x.ord + before if x.parent is None else x.ord, x.n_children, path))
+            ids, before = ids + len(f), before + len(mine)
+    got = make(spark.createDataFrame(table, "doc string, rec long, text string"), format).select("doc", "id", "parent_id", "ord", "n_children", "path").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_no_task_sorts_a_whole_document(spark):
+    plan = nodes.shred_document(star.json_texts(spark, FOLDER))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "rec" in line.split("windowspecdefinition", 1)[1].split("specifiedwindowframe")[0]]
+    assert windows and all("__part" in line for line in windows)
+
+
+def test_broken_records_of_a_document(spark):
+    d = frame(spark, '{"a":1}', "{", None, "[2]")
+    assert [(x.id, x.path) for x in nodes.shred_document(d, on_error="skip").orderBy("id").collect()] == [(1, "$"), (2, "$[0]"), (3, "$[0].a"), (4, "$[1]"), (5, "$[1][0]")]
+    with pytest.raises(Exception, match="unexpected end"):
+        nodes.shred_document(d).collect()
+
+
 def test_differences_of_texts_are_those_of_nodes(spark):
     r = random.Random(7)
     value = lambda d=0: r.choice([1, 2, "x", "y" * 500, None, True, 'q"']) if d > 2 or r.random() < 0.4 else [value(d + 1) for _ in range(r.randrange(4))] if r.random() < 0.4 else {r.choice(["a", "b", "c d"]): value(d + 1) for _ in range(r.randrange(4))}
@@ -107,3 +146,8 @@ def test_texts_are_compared_without_a_join_of_nodes(spark):
     left = star.json_texts(spark, FOLDER)
     plan = convert.diff_texts(left, left)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and plan.index("MapInArrow") < plan.index("Join")
+
+
+def test_stored_tables(spark):
+    d = rows.stored(spark.range(5), "five")
+    assert d.count() == 5 and "/stratalens/five-" in d.inputFiles()[0]
