@@ -243,8 +243,8 @@ def search(nodes: DataFrame, query: str, scope: str = "all", exact: bool = False
 
 def trigrams(nodes: DataFrame) -> DataFrame:
     """An index (gram, doc, id) of the runs of three characters, in small letters, of names and values."""
-    parts = F.array(F.col("name"), F.col("value"))
-    grams = F.flatten(F.transform(F.filter(parts, lambda x: F.length(x) > 2), lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(F.lower(x), i, F.lit(3)))))
+    parts = F.array(F.lower("name"), F.lower("value"))
+    grams = F.flatten(F.transform(F.filter(parts, lambda x: F.length(x) > 2), lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, F.lit(3)))))
     return nodes.select("doc", "id", F.explode(F.array_distinct(grams)).alias("gram")).select("gram", "doc", "id")
 
 

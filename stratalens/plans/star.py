@@ -361,7 +361,7 @@ def json_search_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT rec, fullkey AS path FROM {_TREE} WHERE type = 'VARCHAR' AND json_extract_string(atom, '$') ILIKE '%high%'")
 def json_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes.shred(json_texts(spark, sf_dir)).withColumn("id", F.col("rec") * 100 + F.col("id"))
+    n = nodes.shred(json_texts(spark, sf_dir), columns=["doc", "rec", "id", "name", "value", "path"]).withColumn("id", F.col("rec") * 100 + F.col("id"))
     return nodes.search_indexed(n, nodes.trigrams(n), "HIGH", "values").select("rec", F.concat(F.lit("$"), F.col("path")).alias("path"))
 
 

@@ -125,6 +125,14 @@ def test_broken_records_of_a_document(spark):
         nodes.shred_document(d).collect()
 
 
+def test_index_of_letters_that_grow_small(spark):
+    n = nodes.shred(frame(spark, '["İİab", "HIGH", "xhighx", "hi"]'))
+    index = nodes.trigrams(n)
+    for q in ("ab", "i̇ab", "high", "igh"):
+        assert {x.id for x in nodes.search_indexed(n, index, q).collect()} == {x.id for x in nodes.found(n, q).collect()}
+    assert nodes.search_indexed(n, index, "i̇ab").count() == 1
+
+
 def test_differences_of_texts_are_those_of_nodes(spark):
     r = random.Random(7)
     value = lambda d=0: r.choice([1, 2, "x", "y" * 500, None, True, 'q"']) if d > 2 or r.random() < 0.4 else [value(d + 1) for _ in range(r.randrange(4))] if r.random() < 0.4 else {r.choice(["a", "b", "c d"]): value(d + 1) for _ in range(r.randrange(4))}
