@@ -228,10 +228,11 @@ def _xml_at(nodes: DataFrame, path: str) -> DataFrame:
     return nodes.join(F.broadcast(now), F.col("id") == F.col("at"), "left_semi")
 
 
-def found(nodes: DataFrame, query: str, scope: str = "all", exact: bool = False, regex: bool = False) -> DataFrame:
-    """Nodes whose name or value (scope: all, keys, values or attributes) has the query in it in any case, is it exactly, or matches it."""
-    test = (lambda c: c == query) if exact else (lambda c: c.rlike(query)) if regex else (lambda c: F.contains(F.lower(c), F.lower(F.lit(query))))
-    parts = {"keys": [test(F.col("name"))], "values": [test(F.col("value"))], "attributes": [(F.col("kind") == parse.ATTRIBUTE) & (test(F.col("name")) | test(F.col("value")))]}.get(scope, [test(F.col("name")), test(F.col("value"))])
+def found(nodes: DataFrame, query: str | list[str], scope: str = "all", exact: bool = False, regex: bool = False) -> DataFrame:
+    """Nodes whose name or value (scope: all, keys, values or attributes) has the query in it in any case, is it exactly, or matches it; of several queries, one of them, in one pass."""
+    one = (lambda c, q: c == q) if exact else (lambda c, q: c.rlike(q)) if regex else (lambda c, q: F.contains(F.lower(c), F.lower(F.lit(q))))
+    test = lambda c: reduce(operator.or_, (one(F.col(c), q) for q in ([query] if isinstance(query, str) else query)))
+    parts = {"keys": lambda: [test("name")], "values": lambda: [test("value")], "attributes": lambda: [(F.col("kind") == parse.ATTRIBUTE) & (test("name") | test("value"))]}.get(scope, lambda: [test("name"), test("value")])()
     return nodes.where(reduce(operator.or_, (F.coalesce(p, F.lit(False)) for p in parts)))
 
 

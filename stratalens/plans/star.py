@@ -355,8 +355,8 @@ def json_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT rec, fullkey AS path FROM {_TREE} WHERE key = 'p' OR key = 'tags'")
 def json_search_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes.shred(json_texts(spark, sf_dir))
-    return nodes.found(n, "p", "keys", exact=True).unionByName(nodes.found(n, "tags", "keys", exact=True)).select("rec", F.concat(F.lit("$"), F.col("path")).alias("path"))
+    n = nodes.shred(json_texts(spark, sf_dir), columns=["rec", "path", "name"])
+    return nodes.found(n, ["p", "tags"], "keys", exact=True).select("rec", F.concat(F.lit("$"), F.col("path")).alias("path"))
 
 
 @query(f"SELECT rec, fullkey AS path FROM {_TREE} WHERE type = 'VARCHAR' AND json_extract_string(atom, '$') ILIKE '%high%'")

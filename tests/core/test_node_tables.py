@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from hypothesis import given
@@ -81,6 +82,12 @@ def test_shred_is_the_parser(spark):
     assert some.columns == ["value", "rec"] and some.count() == len(want)
 
 
+def test_several_queries(spark):
+    t = nodes.shred(frame(spark, '{"p":"tags","tags":["p",1],"px":0}'))
+    assert sorted(r.path for r in nodes.found(t, ["p", "tags"], "keys", exact=True).collect()) == [".p", ".tags"]
+    assert nodes.found(t, ["p", "tags"], "values", exact=True).count() == 2
+
+
 def test_one_row_group_is_read_by_all_tasks(spark):
     for texts in (star.json_texts(spark, FOLDER), star.event_texts(spark, FOLDER)):
         assert texts.rdd.getNumPartitions() == 8
@@ -159,3 +166,16 @@ def test_texts_are_compared_without_a_join_of_nodes(spark):
 def test_stored_tables(spark):
     d = rows.stored(spark.range(5), "five")
     assert d.count() == 5 and "/stratalens/five-" in d.inputFiles()[0]
+
+
+#: The columns that Python makes for a query.
+MADE = [
+    ("json_search_keys", "rec name path"),
+]
+
+
+@pytest.mark.parametrize(("name", "columns"), MADE)
+def test_only_what_a_query_needs_is_made_and_once(spark, name, columns):
+    plan = star.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    made = re.findall(r"MapInArrow [^\n]*?, \[([^\]]*)\]", plan)
+    assert [sorted(re.sub(r"#\d+L?", "", m).split(", ")) for m in made] == [sorted(columns.split())]
