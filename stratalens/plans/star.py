@@ -332,7 +332,7 @@ def event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT rec, fullkey AS path, CAST(CASE type WHEN 'OBJECT' THEN 0 WHEN 'ARRAY' THEN 1 WHEN 'VARCHAR' THEN 2 WHEN 'BOOLEAN' THEN 4 WHEN 'NULL' THEN 5 ELSE 3 END AS INTEGER) AS kind, CASE WHEN type IN ('OBJECT', 'ARRAY', 'NULL') THEN NULL ELSE json_extract_string(atom, '$') END AS value FROM {_TREE}")
 def json_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes.shred(json_texts(spark, sf_dir))
+    n = nodes.shred(json_texts(spark, sf_dir), columns=["rec", "path", "kind", "value"])
     return n.select("rec", F.concat(F.lit("$"), F.col("path")).alias("path"), "kind", "value")
 
 

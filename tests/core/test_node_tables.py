@@ -171,6 +171,7 @@ def test_stored_tables(spark):
 #: The columns that Python makes for a query.
 MADE = [
     ("json_search_keys", "rec name path"),
+    ("json_nodes", "rec kind value path"),
 ]
 
 
