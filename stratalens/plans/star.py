@@ -350,7 +350,7 @@ def json_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT rec, fullkey AS path FROM {_TREE} WHERE type = 'VARCHAR' AND json_extract_string(atom, '$') ILIKE '%urgent%'")
 def json_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.found(nodes.shred(json_texts(spark, sf_dir)), "urgent", "values").select("rec", F.concat(F.lit("$"), F.col("path")).alias("path"))
+    return nodes.found(nodes.shred(json_texts(spark, sf_dir), columns=["rec", "path", "value"]), "urgent", "values").select("rec", F.concat(F.lit("$"), F.col("path")).alias("path"))
 
 
 @query(f"SELECT rec, fullkey AS path FROM {_TREE} WHERE key = 'p' OR key = 'tags'")

@@ -172,6 +172,7 @@ def test_stored_tables(spark):
 MADE = [
     ("json_search_keys", "rec name path"),
     ("json_nodes", "rec kind value path"),
+    ("json_search", "rec value path"),
 ]
 
 
