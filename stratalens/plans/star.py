@@ -344,8 +344,7 @@ def json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS children, count(*) AS numbers, count(DISTINCT json_extract_string(props, '$.k')) AS distinct_values, min(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS min, max(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS max, round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS avg FROM events")
 def json_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "events").select(F.lit("events").alias("doc"), F.col("event_id").alias("rec"), F.col("props").alias("text"))
-    return nodes.child_stats(nodes.shred(texts).where("path = '.k'")).select("children", "numbers", "distinct_values", "min", "max", F.round("avg", 6).alias("avg"))
+    return nodes.child_stats(nodes.shred(event_texts(spark, sf_dir), columns=["path", "kind", "value"]).where("path = '.k'")).select("children", "numbers", "distinct_values", "min", "max", F.round("avg", 6).alias("avg"))
 
 
 @query(f"SELECT rec, fullkey AS path FROM {_TREE} WHERE type = 'VARCHAR' AND json_extract_string(atom, '$') ILIKE '%urgent%'")

@@ -173,6 +173,7 @@ MADE = [
     ("json_search_keys", "rec name path"),
     ("json_nodes", "rec kind value path"),
     ("json_search", "rec value path"),
+    ("json_stats", "kind value path"),
 ]
 
 
