@@ -338,8 +338,7 @@ def json_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id AS rec, json_extract_string(props, '$.k') AS value FROM events")
 def json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "events").select(F.lit("events").alias("doc"), F.col("event_id").alias("rec"), F.col("props").alias("text"))
-    return nodes.shred(texts).where("path = '.k'").select("rec", "value")
+    return nodes.shred(event_texts(spark, sf_dir), columns=["rec", "path", "value"]).where("path = '.k'").select("rec", "value")
 
 
 @query("SELECT count(*) AS children, count(*) AS numbers, count(DISTINCT json_extract_string(props, '$.k')) AS distinct_values, min(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS min, max(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS max, round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS avg FROM events")

@@ -174,6 +174,7 @@ MADE = [
     ("json_nodes", "rec kind value path"),
     ("json_search", "rec value path"),
     ("json_stats", "kind value path"),
+    ("json_path", "rec value path"),
 ]
 
 
